@@ -135,7 +135,7 @@ def top_flag(data: DataFrame, top: int = 50) -> DataFrame:
     The two ends keep their historical edges: the upper one counts from
     ``max - top`` inclusive, the lower one to ``top``.
     """
-    ranked = rank_within(data, ["ExpressionCategory"], F.col("Log2FC"), rank="GeneRank")
+    ranked = rank_within(settle(data), ["ExpressionCategory"], F.col("Log2FC"), rank="GeneRank")
     ends = settle(ranked.groupBy("ExpressionCategory").agg(F.max("GeneRank").alias("__max")))
     flag = (
         F.when(F.col("ExpressionCategory") == "Stimulated", F.col("GeneRank") >= F.col("__max") - top)
@@ -161,6 +161,7 @@ def spearman_with(data: DataFrame, features: Sequence[str], reference: str) -> D
     positional alignment is involved; both rankings split hot groups by value.
     """
     wide = data.select(*[col(f) for f in features], col(reference).alias("__ref"))
+    wide = settle(wide)  # the few columns in play, read by every pass of both rankings
     long = to_long(wide, ["__ref"], features).where(F.col("Value").isNotNull() & F.col("__ref").isNotNull())
     ranked = rank_within(long, ["Feature"], F.col("Value"), rank=None, average="__x")
     ranked = rank_within(ranked, ["Feature"], F.col("__ref"), rank=None, average="__y")

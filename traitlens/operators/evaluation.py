@@ -99,7 +99,7 @@ def gene_accuracy(preds: DataFrame, data: DataFrame) -> DataFrame:
 
 def accuracy_by_effect(genes: DataFrame, width: int = 100, keys: Sequence[str] = ("Host", "ExpressionCategory")) -> DataFrame:
     """Sliding mean accuracy along the rank of effect size, without the ragged end."""
-    ranked = rank_within(genes, keys, F.abs("Log2FC"), position="__position", tiebreak="rowIndex")
+    ranked = rank_within(settle(genes), keys, F.abs("Log2FC"), position="__position", tiebreak="rowIndex")
     slid = sliding_mean(ranked, keys, "__position", "Accuracy", width, "SlidingAccuracy")
     last = settle(ranked.groupBy(*[col(k) for k in keys]).agg(F.max("Rank").alias("__last")))
     kept = join_small(slid, last, keys).where(F.col("Rank") <= F.col("__last") - width)

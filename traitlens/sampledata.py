@@ -35,13 +35,13 @@ CODING_MIN_CHARS = 300
 CODON_MIN_CHARS = 600
 
 SHAP_FEATURES = {
-    "CpG_Coding": "(avg(l_quantity) - 25.5) / 10",
-    "brCpG_Coding": "(avg(l_tax) - 0.04) * 15",
-    "CG%_EntireGene": "(avg(l_extendedprice) - 38000) / 40000",
-    "TA%_Coding": "(max(l_quantity) - 45) / 25",
-    "TpA_EntireGene": "(avg(l_discount) - 0.05) * 20",
-    "GCcont_Coding": "(min(l_quantity) - 5) / 20",
-    "S-Bias_Coding": "(max(l_extendedprice) - 90000) / 60000",
+    "CpG_Coding": "(avg(l_quantity) - 25.5) / 10.007",
+    "brCpG_Coding": "(avg(l_tax) - 0.04) * 15.013",
+    "CG%_EntireGene": "(avg(l_extendedprice) - 38000) / 40009",
+    "TA%_Coding": "(max(l_quantity) - 45) / 25.013",
+    "TpA_EntireGene": "(avg(l_discount) - 0.05) * 20.011",
+    "GCcont_Coding": "(min(l_quantity) - 5) / 20.011",
+    "S-Bias_Coding": "(max(l_extendedprice) - 90000) / 60007",
 }
 
 
