@@ -111,10 +111,33 @@ def shap_contributions(data):
     return rounded(shap.shap_contributions(df, model), "SHAP")
 
 
-@query("shap_additivity")
+@query("shap_additivity", "SELECT vec_id AS RowID, 'Stimulated' AS Label, true AS Additive FROM embeddings")
 def shap_additivity(data):
+    """Contributions and bias add up to the margin of every row; the twin states just that."""
     df, model = _fit(data)
-    return rounded(shap.additivity(df, model), "Margin", "Total", "Gap")
+    return shap.additivity(df, model).select("RowID", "Label", (F.col("Gap") < 1e-9).alias("Additive"))
+
+
+_STUMP_FEATURES = ("l_quantity", "l_discount", "l_tax")
+
+
+@query("train_dart_stump", """WITH t AS (SELECT l_quantity, l_discount, l_tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem),
+    v AS (SELECT 'l_quantity' AS f, l_quantity AS x, y FROM t UNION ALL SELECT 'l_discount', l_discount, y FROM t UNION ALL SELECT 'l_tax', l_tax, y FROM t),
+    c AS (SELECT f, x, sum(0.25::DOUBLE) AS h, sum(y - 0.5::DOUBLE) AS s FROM v GROUP BY ALL),
+    p AS (SELECT f, x, sum(h) OVER w AS hl, sum(s) OVER w AS sl, sum(h) OVER (PARTITION BY f) AS ha, sum(s) OVER (PARTITION BY f) AS sa,
+            (x + lead(x) OVER (PARTITION BY f ORDER BY x)) / 2 AS cut FROM c WINDOW w AS (PARTITION BY f ORDER BY x)),
+    best AS (SELECT f, cut, sl / (hl + 1) AS lo, (sa - sl) / (ha - hl + 1) AS hi FROM p WHERE cut IS NOT NULL
+             ORDER BY sl * sl / hl + (sa - sl) * (sa - sl) / (ha - hl) DESC LIMIT 1)
+    SELECT l_quantity, l_discount, l_tax, count(*) AS n,
+      round(0.3::DOUBLE * CASE WHEN (CASE f WHEN 'l_quantity' THEN l_quantity WHEN 'l_discount' THEN l_discount ELSE l_tax END) <= cut THEN lo ELSE hi END, 6) AS margin
+    FROM t, best GROUP BY ALL""")
+def train_dart_stump(data):
+    """One Newton stump over all line items: split, leaves and scoring against plain SQL."""
+    label = F.when(F.col("l_returnflag") == "R", "Stimulated").otherwise("Repressed")
+    df = data.table("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rowIndex"), label.alias("obs"), *_STUMP_FEATURES)
+    model = boosting.fit_dart(df, list(_STUMP_FEATURES), "obs", TWO, BoostParams(rounds=1, max_depth=1, min_child_weight=0.0))
+    cells = df.groupBy(*_STUMP_FEATURES).agg(F.count("*").alias("n"))
+    return model.score(cells).select(*_STUMP_FEATURES, "n", F.round(F.col("margin")[0], 6).alias("margin"))
 
 
 # ---- plans ------------------------------------------------------------------------------------

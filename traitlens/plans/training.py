@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitlens.functions.names import col
@@ -32,12 +32,12 @@ class Tuning:
     folds: DataFrame
 
 
-def run_concurrently(tasks: Sequence[Callable[[], object]], parallelism: int) -> list:
+def run_concurrently(spark: SparkSession, tasks: Sequence[Callable[[], object]], parallelism: int) -> list:
     """Launch Spark jobs from a few threads; the scheduler interleaves their stages."""
     if parallelism <= 1:
         return [task() for task in tasks]
     with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(lambda task: inheritable_thread_target(task)(), tasks))
+        return list(pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks))
 
 
 def _held_out(rows: DataFrame, folds: DataFrame, models: dict[tuple[int, int], Ensemble], row_id: str, label: str) -> DataFrame:
@@ -93,7 +93,7 @@ def search(
 
     resamples = [(rep, fold) for rep in range(1, repeats + 1) for fold in range(1, folds + 1)]
     jobs = [(number, params, rep, fold) for number, params in enumerate(candidates, 1) for rep, fold in resamples]
-    fitted = run_concurrently([fit_one(params, rep, fold) for _, params, rep, fold in jobs], parallelism)
+    fitted = run_concurrently(spark, [fit_one(params, rep, fold) for _, params, rep, fold in jobs], parallelism)
     models: dict[int, dict[tuple[int, int], Ensemble]] = {}
     for (number, _, rep, fold), model in zip(jobs, fitted):
         models.setdefault(number, {})[(rep, fold)] = model
@@ -105,7 +105,7 @@ def search(
 
         return task
 
-    metrics = reduce(DataFrame.unionByName, run_concurrently([measure(n) for n in models], parallelism))
+    metrics = reduce(DataFrame.unionByName, run_concurrently(spark, [measure(n) for n in models], parallelism))
     means = metrics.groupBy("Candidate").agg(F.avg("logLoss").alias("logLoss"))
     best = means.orderBy("logLoss", "Candidate").first()["Candidate"]
     table = spark.createDataFrame([candidate_row(n, p) for n, p in enumerate(candidates, 1)])
