@@ -104,17 +104,18 @@ def test_baseline_probability_is_of_the_first_level(table):
     assert np.allclose(out.m, np.log(out.p / (1 - out.p)))
 
 
-def test_route_missing_keeps_gaps_outside_the_range(table):
-    bounds = boosting.missing_bounds(table, FEATURES)
-    assert set(bounds) == {"f-0"}
-    encoded, origin = boosting.route_missing(table, FEATURES, bounds)
-    assert origin[:2] == [("f-0", True), ("f-0", False)] and len(origin) == 5
+def test_route_missing_keeps_gaps_outside_the_range(spark, table):
+    nullable = boosting.nullable_features(table, FEATURES)
+    assert nullable == {"f-0"}
+    encoded, names, origin = boosting.route_missing(table, FEATURES, nullable)
+    assert origin[:2] == [("f-0", True), ("f-0", False)] and len(names) == len(origin) == 5
     got = encoded.toPandas()
-    both = got[["f-0__low", "f-0__high"]]
-    gone = both["f-0__low"] != both["f-0__high"]
+    gone = got["f-0__low"] != got["f-0__high"]
     assert gone.sum() == table.where("`f-0` is null").count()
-    known = both["f-0__low"][~gone]
-    assert (both["f-0__low"][gone] < known.min()).all() and (both["f-0__high"][gone] > known.max()).all()
+    known = got["f-0__low"][~gone]
+    assert (got["f-0__low"][gone] < known.min()).all() and (got["f-0__high"][gone] > known.max()).all()
+    nan = spark.createDataFrame([(1, float("nan"), 1.0), (2, 1.0, 1.0)], "rowIndex long, a double, b double")
+    assert boosting.nullable_features(nan, ["a", "b"]) == {"a"}
 
 
 # ---- attributions -----------------------------------------------------------------------------

@@ -29,17 +29,22 @@ _NULLABLE = [i for i in range(64) if i % 8 == 0]
 
 @query("missing_route_encode", "WITH g AS (SELECT vec_id AS rowIndex, "
     + ", ".join(f"CASE WHEN (vec_id + {i}) % 17 <> 0 THEN embedding[{i + 1}]::DOUBLE END AS f{i:02d}" for i in _NULLABLE)
-    + " FROM embeddings), b AS (SELECT "
-    + ", ".join(f"min(f{i:02d}) AS a{i}, max(f{i:02d}) AS b{i}" for i in _NULLABLE)
-    + " FROM g) SELECT rowIndex, "
-    + ", ".join(f'round(coalesce(f{i:02d}, a{i} - (b{i} - a{i}) - 1), 6) AS "f{i:02d}__low", round(coalesce(f{i:02d}, b{i} + (b{i} - a{i}) + 1), 6) AS "f{i:02d}__high"' for i in _NULLABLE)
-    + " FROM g, b")
+    + " FROM embeddings) SELECT rowIndex, "
+    + ", ".join(f'round(f{i:02d}, 6) AS "f{i:02d}__low", f{i:02d} IS NULL AS "f{i:02d}__below", round(f{i:02d}, 6) AS "f{i:02d}__high", f{i:02d} IS NULL AS "f{i:02d}__above"' for i in _NULLABLE)
+    + " FROM g")
 def missing_route_encode(data):
+    """Both copies of each nullable feature; the far stand-ins are shown as flags."""
     df, features = data.trainable()
     chosen = [features[i] for i in _NULLABLE]
     df = df.select("rowIndex", *chosen)
-    encoded, _ = boosting.route_missing(df, chosen, boosting.missing_bounds(df, chosen))
-    return rounded(encoded, *encoded.columns[1:])
+    encoded, names, _ = boosting.route_missing(df, chosen, boosting.nullable_features(df, chosen))
+    shown = []
+    for name in names:
+        far = F.abs(col(name)) > 1e307
+        low = name.endswith("__low")
+        away = far & (col(name) < 0 if low else col(name) > 0)
+        shown += [F.round(F.when(~far, col(name)), 6).alias(name), away.alias(name.replace("__low", "__below").replace("__high", "__above"))]
+    return encoded.select("rowIndex", *shown)
 
 
 def _fit(data, classes=2, params=QUICK):

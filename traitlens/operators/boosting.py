@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitlens.functions.names import col, quoted
-from traitlens.functions.recode import ordinal
 from traitlens.sources.store import settle
 
 _SETTLE_EVERY = 8
@@ -147,43 +146,45 @@ class Ensemble:
 
 # ---- missing values ---------------------------------------------------------------------------
 
+# Stand-ins for a missing value, beyond any measured one and still finite, so
+# that the midpoint to a real value is finite too.
+_BELOW, _ABOVE = -1e308, 1e308
 
-def missing_bounds(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Features that hold NULL or NaN, with a value below and one above their range; one pass."""
-    known = {f: F.when(~F.isnan(col(f)), col(f)) for f in features}
-    row = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(known.values())],
-        *[F.min(c).alias(f"a{i}") for i, c in enumerate(known.values())],
-        *[F.max(c).alias(f"b{i}") for i, c in enumerate(known.values())],
-        F.count("*").alias("rows"),
-    ).first()
-    bounds = {}
-    for i, f in enumerate(features):
-        if row[f"n{i}"] < row["rows"]:
-            low, high = row[f"a{i}"] or 0.0, row[f"b{i}"] or 0.0
-            bounds[f] = (low - (high - low) - 1.0, high + (high - low) + 1.0)
-    return bounds
 
+def _known(feature: str) -> str:
+    """SQL for a feature as a number, NaN counted as missing."""
+    return f"nullif(CAST({quoted(feature)} AS DOUBLE), DOUBLE('NaN'))"
 
-def route_missing(df: DataFrame, features: Sequence[str], bounds: dict[str, tuple[float, float]]) -> tuple[DataFrame, list[tuple[str, bool]]]:
-    """Replace each nullable feature by two copies, missing below and missing above the range.
+
+def nullable_features(df: DataFrame, features: Sequence[str]) -> set[str]:
+    """Features that are missing in some row.
+
+    Each row names its own gaps, so the aggregation has one expression however
+    wide the table is, and complete rows add nothing to it.
+    """
+    gaps = ", ".join(f"IF({_known(f)} IS NULL, {i}, NULL)" for i, f in enumerate(features))
+    found = df.select(F.explode(F.array_compact(F.expr(f"array({gaps})"))).alias("i")).distinct().collect()
+    return {features[r.i] for r in found}  # at most one row per feature
+
+
+def route_missing(df: DataFrame, features: Sequence[str], nullable: set[str], keep: Sequence[str] | None = None) -> tuple[DataFrame, list[str], list[tuple[str, bool]]]:
+    """Give each nullable feature two copies, missing far below and missing far above.
 
     A split on the first copy sends missing rows left, on the second right, so
-    the tree learns the direction.  Returns the frame and, per encoded column in
-    order, its feature and whether missing goes left.
+    the tree learns the direction.  Returns the frame (``keep`` columns, then
+    encoded ones), the encoded names, and per name its feature and whether
+    missing goes left.
     """
-    columns, origin = [], []
+    names, origin, columns = [], [], []
     for f in features:
-        known = F.when(~F.isnan(col(f)), col(f))
-        if f in bounds:
-            low, high = bounds[f]
-            columns += [F.coalesce(known, F.lit(low)).alias(f + _LOW), F.coalesce(known, F.lit(high)).alias(f + _HIGH)]
-            origin += [(f, True), (f, False)]
-        else:
-            columns.append(col(f))
-            origin.append((f, True))
-    rest = [col(c) for c in df.columns if c not in features]
-    return df.select(*rest, *columns), origin
+        ends = ((_LOW, _BELOW, True), (_HIGH, _ABOVE, False)) if f in nullable else (("__all", None, True),)
+        for suffix, stand_in, left in ends:
+            value = _known(f) if stand_in is None else f"coalesce({_known(f)}, {stand_in!r}D)"
+            names.append(f + suffix)
+            origin.append((f, left))
+            columns.append(f"{value} AS {quoted(f + suffix)}")
+    keep = [c for c in df.columns if c not in features] if keep is None else keep
+    return df.selectExpr(*[quoted(c) for c in keep], *columns), names, origin
 
 
 # ---- trees ------------------------------------------------------------------------------------
@@ -233,22 +234,49 @@ def _read_tree(model, origin: Sequence[tuple[str, bool]], params: BoostParams) -
     return nodes
 
 
+@dataclass
+class Encoded:
+    """A training table ready for any number of fits: __id, __y, __x and the raw features."""
+
+    table: DataFrame
+    features: list[str]
+    levels: list[str]
+    origin: list[tuple[str, bool]]
+
+
+def encode(df: DataFrame, features: Sequence[str], label: str, levels: Sequence[str], row_id: str = "rowIndex") -> Encoded:
+    """Order the classes, route missing values, assemble vectors, write once."""
+    levels_sql = ", ".join("'" + v.replace("'", "\\'") + "'" for v in levels)
+    data = df.selectExpr(
+        f"{quoted(row_id)} AS __id",
+        f"array_position(array({levels_sql}), {quoted(label)}) - 1 AS __y",
+        *[f"CAST({quoted(f)} AS DOUBLE) AS {quoted(f)}" for f in features],
+    ).where("__y >= 0")
+    routed, names, origin = route_missing(data, features, nullable_features(data, features), keep=data.columns)
+    table = VectorAssembler(inputCols=names, outputCol="__x").transform(routed).drop(*names)
+    return Encoded(settle(table), list(features), list(levels), origin)
+
+
 def fit_dart(df: DataFrame, features: Sequence[str], label: str, levels: Sequence[str], params: BoostParams, row_id: str = "rowIndex") -> Ensemble:
-    """Fit boosted trees with dropout.
+    """Fit boosted trees with dropout on a labelled table; other labels drop out."""
+    return fit_encoded(encode(df, features, label, levels, row_id), params)
+
+
+def fit_encoded(encoded: Encoded, params: BoostParams, rows: DataFrame | None = None) -> Ensemble:
+    """Fit on an encoded table, or on those of its rows that ``rows`` (__id) names.
 
-    The encoded table is written once.  Every tree's output is kept per row, so
-    dropping trees costs a weighted sum instead of rescoring, and the table is
-    rewritten every few rounds to keep the plan short.
+    Every tree's output is kept per row, so dropping trees costs a weighted sum
+    instead of rescoring, and the table is rewritten every few rounds to keep
+    the plan short.
     """
-    ensemble = Ensemble(list(features), list(levels))
+    features, origin = encoded.features, encoded.origin
+    ensemble = Ensemble(list(features), list(encoded.levels))
     outputs = ensemble.outputs
     rng = random.Random(params.seed)
-    data = df.select(col(row_id).alias("__id"), (ordinal(col(label), levels) - 1).cast("int").alias("__y"), *[col(f).cast("double").alias(f) for f in features])
-    data = data.where(F.col("__y").isNotNull())
-    encoded, origin = route_missing(data.withColumns({f"__raw{i}": col(f) for i, f in enumerate(features)}), features, missing_bounds(data, features))
-    names = encoded.columns[len(encoded.columns) - len(origin) :]
-    vectors = VectorAssembler(inputCols=names, outputCol="__x").transform(encoded)
-    state = settle(vectors.select("__id", "__y", "__x", *[F.col(f"__raw{i}").alias(f) for i, f in enumerate(features)], F.array().cast("array<double>").alias("__out")))
+    state = encoded.table
+    if rows is not None:
+        state = settle(state.join(rows.select("__id"), "__id", "left_semi"))
+    state = state.withColumn("__out", F.array().cast("array<double>"))
 
     for round_number in range(params.rounds):
         dropped = []
@@ -318,14 +346,11 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, levels: Sequence
 
     if len(levels) != 2:
         raise ValueError("the baseline handles two classes")
-    bounds = missing_bounds(df, features)
+    nullable = nullable_features(df, features)
 
     def assembled(frame: DataFrame) -> DataFrame:
-        numeric = frame.withColumns({f: col(f).cast("double") for f in features})
-        keyed, origin = route_missing(numeric.withColumns({f"__raw{i}": col(f) for i, f in enumerate(features)}), features, bounds)
-        names = keyed.columns[len(keyed.columns) - len(origin) :]
-        out = VectorAssembler(inputCols=names, outputCol="__x").transform(keyed).drop(*names)
-        return out.withColumnsRenamed({f"__raw{i}": f for i, f in enumerate(features)})
+        routed, names, _ = route_missing(frame, features, nullable, keep=frame.columns)
+        return VectorAssembler(inputCols=names, outputCol="__x").transform(routed).drop(*names)
 
     train = assembled(df.where(col(label).isin(list(levels)))).select("__x", F.when(col(label) == levels[0], 1.0).otherwise(0.0).alias("__y"))
     model = GBTClassifier(

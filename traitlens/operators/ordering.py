@@ -47,21 +47,24 @@ def _split_table(df: DataFrame, keys: Sequence[str], value: str, ranges: int) ->
     return settle(df.groupBy(*[col(k) for k in keys]).agg(F.array_distinct(sketch).alias("__splits")))
 
 
-def _splits_below(value: Column, splits: Column, ranges: int) -> Column:
-    """How many split points are below the value, by binary search."""
-    steps = [2**i for i in range(math.ceil(math.log2(ranges + 1)), -1, -1)]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: at + F.when(F.get(splits, at + step - 1) < value, step).otherwise(0),
-    )
+def _with_splits_below(df: DataFrame, value: str, ranges: int) -> DataFrame:
+    """Add __below, the number of split points below the value, by binary search.
+
+    One projection per halving step: all of them compile into the scan's code,
+    which a lambda over the array would not.
+    """
+    df = df.withColumn("__below", F.lit(0))
+    for power in range(math.ceil(math.log2(ranges + 1)) - 1, -1, -1):
+        step = 2**power
+        probe = F.get("__splits", F.col("__below") + (step - 1))
+        df = df.withColumn("__below", F.col("__below") + F.when(probe < F.col(value), step).otherwise(0))
+    return df
 
 
 def _ranged(df: DataFrame, keys: Sequence[str], value: str, ranges: int) -> DataFrame:
     """Tag each row with its value range; NULLs form the last one."""
     tagged = join_small(df, _split_table(df, keys, value, ranges), keys)
-    below = _splits_below(F.col(value), F.col("__splits"), ranges)
-    tagged = tagged.withColumn("__below", below)
+    tagged = _with_splits_below(tagged, value, ranges)
     on_point = F.coalesce(F.get(F.col("__splits"), F.col("__below")) == F.col(value), F.lit(False))
     return (
         tagged.withColumn(_POINT, on_point | F.col(value).isNull())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from traitlens.functions.names import col
 from traitlens.functions.recode import ordinal
-from traitlens.operators.boosting import BoostParams, Ensemble, candidate_row, fit_dart
+from traitlens.operators.boosting import BoostParams, Ensemble, candidate_row, encode, fit_dart, fit_encoded
 from traitlens.operators.evaluation import log_loss
 from traitlens.operators.resampling import FOLDS, REPEATS, downsample, repeated_folds, resample_name, training_rows
 from traitlens.sources.store import settle
@@ -84,10 +84,12 @@ def search(
     fold_table = settle(repeated_folds(rows, row_id, label, folds, repeats, seed))
     training = settle(downsample(training_rows(fold_table, folds), row_id, label, seed).drop(label))
 
+    encoded = encode(rows, features, label, levels, row_id)
+
     def fit_one(params: BoostParams, rep: int, fold: int) -> Callable[[], Ensemble]:
         def task() -> Ensemble:
-            mine = training.where((F.col("Rep") == rep) & (F.col("Fold") == fold)).select(col(row_id))
-            return fit_dart(rows.join(mine, row_id, "left_semi"), features, label, levels, params, row_id)
+            mine = training.where((F.col("Rep") == rep) & (F.col("Fold") == fold)).select(col(row_id).alias("__id"))
+            return fit_encoded(encoded, params, mine)
 
         return task
 
