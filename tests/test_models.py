@@ -194,7 +194,7 @@ def test_search_holds_rows_out_once_per_repeat(spark, table, tmp_path):
     assert tuning.metrics.count() == 4 and tuning.candidates.count() == 2
     means = {r.Candidate: r.logLoss for r in tuning.candidates.collect()}
     assert means[tuning.best] == min(means.values())
-    oof = training.held_out_predictions(table, tuning).toPandas()
+    oof = training.held_out_predictions(tuning).toPandas()
     assert sorted(oof.rowIndex) == list(range(300)) and set(oof.Resample) == {"Fold1.Rep01", "Fold2.Rep01"}
     model = training.refit(table, FEATURES, LEVELS, tuning.best_params, str(tmp_path / "fit"))
     assert Ensemble.load(spark, str(tmp_path / "fit" / "model")) == model

@@ -103,3 +103,17 @@ def test_hashed_position_is_a_permutation_per_group(spark):
     out = ordering.hashed_position(df, ["g"], F.md5(F.col("id").cast("string")), "p").toPandas()
     for _, part in out.groupby("g", dropna=False):
         assert sorted(part.p) == list(range(1, len(part) + 1))
+
+
+def test_hot_groups_are_ranked_like_any_other(spark, monkeypatch):
+    from traitlens.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    pdf, df = skewed(spark, 3000)
+    pdf["k"] = np.where(pdf.index % 3 == 0, -1, pdf.index)
+    df = df.withColumn("k", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")))
+    assert len(skew.hot_keys([df], ["g", "k"])[0]) >= 2
+    got = ordering.rank_groups(df, ["g", "k"], F.col("v"), descending=True).toPandas().sort_values("id").reset_index(drop=True)
+    known = pdf.v.notna()
+    want = (-pdf.v).groupby([pdf.g.fillna("~"), pdf.k]).rank(method="min")
+    assert len(got) == 3000 and (got.Rank[known] == want[known]).all()

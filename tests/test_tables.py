@@ -168,3 +168,23 @@ def test_prepare_end_to_end(spark, tmp_path):
 def test_biomart_copy_needs_the_composite_key(spark):
     raw = spark.createDataFrame([("Homo sapiens", "A", "S", "down_regulated", -1.0, 0.1)], list(prepare.IDENTITY_COLUMNS))
     assert rows(prepare.clean_identities(raw, duplicate_for=("human", "biomart")), "HOST", "ExpressionCategory") == [("biomart", "Repressed"), ("human", "Repressed")]
+
+
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_hot_keys_take_the_split_merge_with_the_same_result(spark, monkeypatch, null_safe):
+    from traitlens.operators import skew
+
+    a = spark.createDataFrame([("x", i) for i in range(40)] + [(None, 1), (None, 2), ("left", 3)], "k string, a int")
+    b = spark.createDataFrame([("x", 1), ("y", 3), (None, 4)], "k string, b int")
+    c = spark.createDataFrame([("x", 7), ("z", 8)], "k string, c int")
+    plain = rows(merging.merge_outer([a, b, c], ["k"], null_safe), "k", "a", "b", "c")
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    assert skew.hot_keys([a, b], ["k"]) == [{'{"k":"x"}'}, set()]
+    assert rows(merging.merge_outer([a, b, c], ["k"], null_safe), "k", "a", "b", "c") == plain
+
+
+def test_partitioned_settle_prunes(spark):
+    df = store.settle(spark.range(40).selectExpr("id", "id % 4 AS Rep", "id % 2 AS Fold"), ["Rep", "Fold"])
+    part = df.where("Rep = 1 AND Fold = 1")
+    assert df.columns == ["id", "Rep", "Fold"] and part.count() == 10
+    assert "PartitionFilters: [isnotnull(Rep" in part._jdf.queryExecution().toString()

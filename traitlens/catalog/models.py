@@ -74,19 +74,17 @@ def score_probability(data):
 def _search(data):
     df, features = data.trainable()
     candidates = boosting.random_candidates(2, seed=7, base=BoostParams(max_bins=32), max_rounds=2)
-    return df, training.search(df, features, TWO, candidates, folds=2, repeats=1)
+    return training.search(df, features, TWO, candidates, folds=2, repeats=1)
 
 
 @query("random_search")
 def random_search(data):
-    _, tuning = _search(data)
-    return rounded(tuning.metrics.select("Candidate", "Rep", "Fold", "logLoss"), "logLoss")
+    return rounded(_search(data).metrics.select("Candidate", "Rep", "Fold", "logLoss"), "logLoss")
 
 
 @query("oof_predictions")
 def oof_predictions(data):
-    df, tuning = _search(data)
-    out = training.held_out_predictions(df, tuning).select("rowIndex", "obs", "pred", "Resample", "p_observed")
+    out = training.held_out_predictions(_search(data)).select("rowIndex", "obs", "pred", "Resample", "p_observed")
     return rounded(out, "p_observed")
 
 

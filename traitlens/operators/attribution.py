@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from traitlens.functions.names import col, feature_class
 from traitlens.operators.merging import enrich
-from traitlens.operators.ordering import rank_within
+from traitlens.operators.ordering import rank_groups, rank_within
 from traitlens.operators.reshape import to_long
 from traitlens.sources.store import join_small, settle
 
@@ -119,13 +119,13 @@ def absent_hosts(stacked: DataFrame) -> DataFrame:
 def class_rank(contributions: DataFrame, data: DataFrame, wanted: str = "CpG") -> DataFrame:
     """Rank of one feature class among all classes within each entity.
 
-    A window here holds one entity's feature classes, so it is small by nature.
+    A group is one entity's feature classes, small unless an entity repeats.
     An unused class (contribution exactly 0) has no place and gets infinity.
     """
     rows = enrich(collapse(contributions), data.withColumnRenamed("rowIndex", "RowID"), ["RowID"])
-    within = W.partitionBy("Host", "Gene").orderBy(F.abs("SHAP").desc_nulls_last())
-    ranked = rows.withColumn("Rank", F.rank().over(within).cast("double")).where(F.col("FeatureClass") == wanted)
-    rank = F.when(F.col("SHAP") == 0, F.lit(float("inf"))).otherwise(F.col("Rank"))
+    rows = settle(rows.select("RowID", "Host", "Gene", "ExpressionCategory", "FeatureClass", "SHAP"))
+    ranked = rank_groups(rows, ["Host", "Gene"], F.abs("SHAP"), descending=True).where(F.col("FeatureClass") == wanted)
+    rank = F.when(F.col("SHAP") == 0, F.lit(float("inf"))).otherwise(F.col("Rank").cast("double"))
     return ranked.select("RowID", "Host", "Gene", "ExpressionCategory", "SHAP", rank.alias("Rank"))
 
 
@@ -175,7 +175,7 @@ def top_feature_correlations(data: DataFrame, ranked: DataFrame, reference: str,
     listed = {r.Feature for r in top.select("Feature").distinct().collect()}  # at most n names
     present = [c for c in data.columns if c in listed]
     correlations = spearman_with(data, present, reference)
-    return correlations.join(F.broadcast(top), "Feature", "right")
+    return correlations.join(top, "Feature", "right")
 
 
 def feature_effects(contributions: DataFrame, data: DataFrame, features: Sequence[str], keep: Sequence[str] = ("Host", "Gene", "ExpressionCategory")) -> DataFrame:

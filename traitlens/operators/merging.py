@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitlens.functions.names import col
-from traitlens.sources.store import BROADCAST_ROWS
+from traitlens.operators.skew import hot_keys
+from traitlens.sources.store import BROADCAST_ROWS, settle
 
 
 def merge_outer(parts: Sequence[DataFrame], keys: Sequence[str], null_safe: bool = False) -> DataFrame:
@@ -18,19 +19,43 @@ def merge_outer(parts: Sequence[DataFrame], keys: Sequence[str], null_safe: bool
     Every join uses the same keys, so each part is shuffled once.  With
     ``null_safe`` rows whose key is NULL meet each other; otherwise they stay
     apart, one row per side.
+
+    A full outer join cannot have its hot partitions split.  When a sketch of
+    the keys finds one that holds too many rows, the merge is put together from
+    an inner join and two anti joins, which adaptive execution can split.
     """
-    if not null_safe:
-        return reduce(lambda a, b: a.join(b, list(keys), "full"), parts)
+    pair = _split_pair if any(hot_keys(parts, keys)) else _full_pair
+    return reduce(lambda a, b: pair(a, b, keys, null_safe), parts)
 
-    def pair(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-        matches = reduce(lambda a, b: a & b, [col(k).eqNullSafe(col(f"__{k}")) for k in keys])
-        merged = left.join(right, matches, "full")
-        rest = [c for c in left.columns if c not in keys]
-        rest += [c for c in right.columns if c not in {f"__{k}" for k in keys}]
-        return merged.select(*[F.coalesce(col(k), col(f"__{k}")).alias(k) for k in keys], *[col(c) for c in rest])
 
-    return reduce(pair, parts)
+def _full_pair(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
+    if not null_safe:
+        return left.join(right, list(keys), "full")
+    other, matches, rest = _aside(left, right, keys, null_safe)
+    merged = left.join(other, matches, "full")
+    return merged.select(*[F.coalesce(col(k), col(f"__{k}")).alias(k) for k in keys], *[col(c) for c in rest])
+
+
+def _split_pair(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
+    other, matches, rest = _aside(left, right, keys, null_safe)
+    both = left.join(other, matches).select(*[col(k) for k in keys], *[col(c) for c in rest])
+    known_right = right.select(*[col(k) for k in keys]).distinct()
+    known_left = left.select(*[col(k) for k in keys]).distinct()
+    right_keys, on_right, _ = _aside(left, known_right, keys, null_safe)
+    left_keys, on_left, _ = _aside(right, known_left, keys, null_safe)
+    only_left = left.join(right_keys, on_right, "left_anti")
+    only_right = right.join(left_keys, on_left, "left_anti")
+    stacked = both.unionByName(only_left, allowMissingColumns=True).unionByName(only_right, allowMissingColumns=True)
+    return settle(stacked)
+
+
+def _aside(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool):
+    """The right side with its keys renamed, the match condition, and the non-key columns."""
+    other = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    pairs = [(col(k), col(f"__{k}")) for k in keys]
+    matches = reduce(lambda a, b: a & b, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
+    rest = [c for c in (*left.columns, *right.columns) if c not in keys]
+    return other, matches, rest
 
 
 def enrich(df: DataFrame, other: DataFrame, on: dict[str, str] | Sequence[str], suffix: str = "_other") -> DataFrame:

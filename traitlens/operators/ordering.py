@@ -24,10 +24,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from traitlens.functions.names import col
+from traitlens.operators.skew import hot_keys, key_text
 from traitlens.sources.store import join_small, settle
 
 _RANGE, _SUB, _POINT, _N, _START, _FIRST = "__range", "__sub", "__point", "__n", "__start", "__first"
 _SUBRANGES = 16
+_BROADCAST_CELLS = 2_000_000
 
 
 def default_ranges(df: DataFrame) -> int:
@@ -63,7 +65,8 @@ def _with_splits_below(df: DataFrame, value: str, ranges: int) -> DataFrame:
 
 def _ranged(df: DataFrame, keys: Sequence[str], value: str, ranges: int) -> DataFrame:
     """Tag each row with its value range; NULLs form the last one."""
-    tagged = join_small(df, _split_table(df, keys, value, ranges), keys)
+    # The splits are arrays, so their broadcast limit counts array cells.
+    tagged = join_small(df, _split_table(df, keys, value, ranges), keys, max_rows=max(1, _BROADCAST_CELLS // ranges))
     tagged = _with_splits_below(tagged, value, ranges)
     on_point = F.coalesce(F.get(F.col("__splits"), F.col("__below")) == F.col(value), F.lit(False))
     return (
@@ -149,6 +152,22 @@ def rank_within(
     return placed.select(*columns, *out)
 
 
+def rank_groups(df: DataFrame, keys: Sequence[str], value: Column, *, descending: bool = False, rank: str = "Rank") -> DataFrame:
+    """Minimum-tie rank within many groups that are small as a rule.
+
+    A window does the work; a group that a sketch finds too large for one task
+    is ranked by value ranges instead.  NULL values rank last.
+    """
+    hot = list(hot_keys([df], keys)[0])
+    order = value.desc_nulls_last() if descending else value.asc_nulls_last()
+    by_window = F.rank().over(W.partitionBy(*[col(k) for k in keys]).orderBy(order)).cast("long")
+    if not hot:
+        return df.withColumn(rank, by_window)
+    is_hot = key_text(keys).isin(hot)
+    large = rank_within(df.where(is_hot), keys, value, descending=descending, rank=rank)
+    return df.where(~is_hot).withColumn(rank, by_window).unionByName(large)
+
+
 def hashed_position(df: DataFrame, keys: Sequence[str], hashed: Column, position: str = "Position", ranges: int | None = None) -> DataFrame:
     """Unique 1..n position within each group in the order of an md5 column.
 
@@ -232,7 +251,8 @@ def stable_row_id(df: DataFrame, order: Sequence[str], name: str = "rowIndex") -
     snapshot, so the id never changes on a recompute.
     """
     columns = [col(c) for c in df.columns]
-    keys = [col(c).asc_nulls_first() for c in order]
+    # The hash keeps rows that share all order columns from forming one partition.
+    keys = [*[col(c).asc_nulls_first() for c in order], F.xxhash64(*columns)]
     spread = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = settle(spread.withColumn("__at", F.monotonically_increasing_id()))
     block = F.shiftright("__at", 33).cast("int")

@@ -29,7 +29,7 @@ class Tuning:
     best: int
     best_params: BoostParams
     models: dict[tuple[int, int], Ensemble]
-    folds: DataFrame
+    assigned: DataFrame
 
 
 def run_concurrently(spark: SparkSession, tasks: Sequence[Callable[[], object]], parallelism: int) -> list:
@@ -40,12 +40,15 @@ def run_concurrently(spark: SparkSession, tasks: Sequence[Callable[[], object]],
         return list(pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks))
 
 
-def _held_out(rows: DataFrame, folds: DataFrame, models: dict[tuple[int, int], Ensemble], row_id: str, label: str) -> DataFrame:
-    """Every fold scored by the model that did not see it."""
+def _held_out(assigned: DataFrame, models: dict[tuple[int, int], Ensemble], row_id: str, label: str) -> DataFrame:
+    """Every fold scored by the model that did not see it.
+
+    ``assigned`` holds each row once per repeat, stored by (Rep, Fold), so each
+    model reads the files of its own fold only.
+    """
     parts = []
     for (rep, fold), model in models.items():
-        mine = folds.where((F.col("Rep") == rep) & (F.col("Fold") == fold)).select(col(row_id), "Rep", "Fold")
-        scored = model.score(rows.join(mine, row_id))
+        scored = model.score(assigned.where((F.col("Rep") == rep) & (F.col("Fold") == fold)))
         truth = ordinal(col(label), model.levels).cast("int")
         parts.append(
             scored.select(
@@ -82,7 +85,8 @@ def search(
     spark = rows.sparkSession
     rows = settle(rows.select(col(row_id), col(label), *[col(f) for f in features]))
     fold_table = settle(repeated_folds(rows, row_id, label, folds, repeats, seed))
-    training = settle(downsample(training_rows(fold_table, folds), row_id, label, seed).drop(label))
+    training = settle(downsample(training_rows(fold_table, folds), row_id, label, seed).drop(label), ["Rep", "Fold"])
+    assigned = settle(rows.join(fold_table.drop(label), row_id), ["Rep", "Fold"])
 
     encoded = encode(rows, features, label, levels, row_id)
 
@@ -102,7 +106,7 @@ def search(
 
     def measure(number: int) -> Callable[[], DataFrame]:
         def task() -> DataFrame:
-            scored = _held_out(rows, fold_table, models[number], row_id, label)
+            scored = _held_out(assigned, models[number], row_id, label)
             return settle(log_loss(scored, ["Rep", "Fold"], "p_observed").withColumn("Candidate", F.lit(number)))
 
         return task
@@ -111,12 +115,12 @@ def search(
     means = metrics.groupBy("Candidate").agg(F.avg("logLoss").alias("logLoss"))
     best = means.orderBy("logLoss", "Candidate").first()["Candidate"]
     table = spark.createDataFrame([candidate_row(n, p) for n, p in enumerate(candidates, 1)])
-    return Tuning(table.join(means, "Candidate"), metrics, best, candidates[best - 1], models[best], fold_table)
+    return Tuning(table.join(means, "Candidate"), metrics, best, candidates[best - 1], models[best], assigned)
 
 
-def held_out_predictions(rows: DataFrame, tuning: Tuning, label: str = "obs", row_id: str = "rowIndex") -> DataFrame:
+def held_out_predictions(tuning: Tuning, label: str = "obs", row_id: str = "rowIndex") -> DataFrame:
     """Held-out predictions of the best candidate with their resample names."""
-    scored = _held_out(rows, tuning.folds, tuning.models, row_id, label)
+    scored = _held_out(tuning.assigned, tuning.models, row_id, label)
     return scored.withColumn("Resample", resample_name())
 
 

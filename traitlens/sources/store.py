@@ -35,16 +35,21 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[app]
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, keeps column pruning for the
-    readers, and fixes values that depend on partition layout.
+    readers, and fixes values that depend on partition layout.  With
+    ``partition_by`` later filters on those columns read only their files; the
+    rebalance hint keeps the files even, splitting large partitions.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write
+    if partition_by:
+        writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[col(c) for c in df.columns])
 
 
 def null_safe_equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
