@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from traitlens.catalog.tables import P1, P2, _round_sql
 from traitlens.functions.names import col
 from traitlens.operators import attribution, boosting, cohorts, evaluation, merging, shap
 from traitlens.operators.boosting import BoostParams
+from traitlens.operators.ordering import stable_row_id
 from traitlens.plans import holdout, perturbation, prepare, training
 from traitlens.sampledata import CODING_SQL, CODON_SQL, CONTRIBUTIONS_SQL, GENE_SQL, METADATA_SQL
 from traitlens.sources.store import shared_root
@@ -77,25 +79,37 @@ def _search(data):
     return training.search(df, features, TWO, candidates, folds=2, repeats=1)
 
 
-@query("random_search")
+_FOLDS_SQL = """vec AS (SELECT vec_id AS rowIndex, CASE WHEN label < 5 THEN 'Stimulated' ELSE 'Repressed' END AS obs FROM embeddings),
+  folded AS (SELECT rowIndex, obs, 1 AS Rep, CAST((row_number() OVER (PARTITION BY obs ORDER BY md5(concat_ws('-', rowIndex, 1, '1'))) - 1) % 2 + 1 AS INT) AS Fold FROM vec)"""
+
+
+@query("random_search", with_sql(_FOLDS_SQL, body="""SELECT c::INT AS Candidate, Rep, Fold, count(*) AS n, true AS Finite
+    FROM folded, range(1, 3) AS r(c) GROUP BY ALL"""))
 def random_search(data):
-    return rounded(_search(data).metrics.select("Candidate", "Rep", "Fold", "logLoss"), "logLoss")
+    """One loss per candidate and resample, each over the whole fold held out."""
+    metrics = _search(data).metrics
+    finite = F.col("logLoss").isNotNull() & ~F.isnan("logLoss") & (F.col("logLoss") > 0) & (F.col("logLoss") < 34.6)
+    return metrics.select("Candidate", "Rep", "Fold", "n", finite.alias("Finite"))
 
 
-@query("oof_predictions")
+@query("oof_predictions", with_sql(_FOLDS_SQL, body="SELECT rowIndex, obs, 'Fold' || CAST(Fold AS VARCHAR) || '.Rep01' AS Resample, true AS Consistent FROM folded"))
 def oof_predictions(data):
-    out = training.held_out_predictions(_search(data)).select("rowIndex", "obs", "pred", "Resample", "p_observed")
-    return rounded(out, "p_observed")
+    """Every row held out in its own fold; the label agrees with the probability."""
+    out = training.held_out_predictions(_search(data))
+    p = F.col("p_observed")
+    agrees = F.when(p == 0.5, True).otherwise((p > 0.5) == (F.col("pred") == F.col("obs")))
+    return out.select("rowIndex", "obs", "Resample", (agrees & (p > 0) & (p < 1)).alias("Consistent"))
 
 
-@query("fit_best")
+@query("fit_best", "SELECT vec_id AS rowIndex, true AS Same FROM embeddings")
 def fit_best(data):
-    """Refit, store, load again, score with the loaded model."""
+    """Refit, store, load again: the loaded model gives every row the same margin."""
     df, features = data.trainable()
     path = f"{shared_root(data.spark).rstrip('/')}/fit-{uuid.uuid4().hex}"
-    training.refit(df, features, TWO, QUICK, path)
-    model = boosting.Ensemble.load(data.spark, f"{path}/model")
-    return rounded(model.score(df).select("rowIndex", "PredictedLabel", F.col("margin")[0].alias("margin")), "margin")
+    model = training.refit(df, features, TWO, QUICK, path)
+    loaded = boosting.Ensemble.load(data.spark, f"{path}/model")
+    both = loaded.score(model.score(df, "first"), "second", "p2", "l2")
+    return both.select("rowIndex", (F.col("first")[0] == F.col("second")[0]).alias("Same"))
 
 
 @query("holdout_evaluate")
@@ -124,23 +138,62 @@ def shap_additivity(data):
 _STUMP_FEATURES = ("l_quantity", "l_discount", "l_tax")
 
 
-@query("train_dart_stump", """WITH t AS (SELECT l_quantity, l_discount, l_tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem),
-    v AS (SELECT 'l_quantity' AS f, l_quantity AS x, y FROM t UNION ALL SELECT 'l_discount', l_discount, y FROM t UNION ALL SELECT 'l_tax', l_tax, y FROM t),
-    c AS (SELECT f, x, sum(0.25::DOUBLE) AS h, sum(y - 0.5::DOUBLE) AS s FROM v GROUP BY ALL),
-    p AS (SELECT f, x, sum(h) OVER w AS hl, sum(s) OVER w AS sl, sum(h) OVER (PARTITION BY f) AS ha, sum(s) OVER (PARTITION BY f) AS sa,
-            (x + lead(x) OVER (PARTITION BY f ORDER BY x)) / 2 AS cut FROM c WINDOW w AS (PARTITION BY f ORDER BY x)),
-    best AS (SELECT f, cut, sl / (hl + 1) AS lo, (sa - sl) / (ha - hl + 1) AS hi FROM p WHERE cut IS NOT NULL
-             ORDER BY sl * sl / hl + (sa - sl) * (sa - sl) / (ha - hl) DESC LIMIT 1)
-    SELECT l_quantity, l_discount, l_tax, count(*) AS n,
-      round(0.3::DOUBLE * CASE WHEN (CASE f WHEN 'l_quantity' THEN l_quantity WHEN 'l_discount' THEN l_discount ELSE l_tax END) <= cut THEN lo ELSE hi END, 6) AS margin
-    FROM t, best GROUP BY ALL""")
-def train_dart_stump(data):
-    """One Newton stump over all line items: split, leaves and scoring against plain SQL."""
+def _stump_sql(number: int, source: str) -> str:
+    """The best weighted split of a table with columns g (gradient step) and h (weight)."""
+    long = " UNION ALL ".join(f"SELECT '{f}' AS f, {f} AS x, g, h FROM {source}" for f in _STUMP_FEATURES)
+    return f"""v{number} AS ({long}), c{number} AS (SELECT f, x, sum(h) AS h, sum(g) AS s FROM v{number} GROUP BY ALL),
+    p{number} AS (SELECT f, x, sum(h) OVER w AS hl, sum(s) OVER w AS sl, sum(h) OVER (PARTITION BY f) AS ha, sum(s) OVER (PARTITION BY f) AS sa,
+        (x + lead(x) OVER (PARTITION BY f ORDER BY x)) / 2 AS cut FROM c{number} WINDOW w AS (PARTITION BY f ORDER BY x)),
+    best{number} AS (SELECT f AS f{number}, cut AS cut{number}, sl / (hl + 1) AS lo{number}, (sa - sl) / (ha - hl + 1) AS hi{number}, hl / ha AS share{number}
+        FROM p{number} WHERE cut IS NOT NULL ORDER BY sl * sl / hl + (sa - sl) * (sa - sl) / (ha - hl) DESC LIMIT 1)"""
+
+
+def _value_sql(number: int) -> str:
+    picked = f"CASE f{number} WHEN 'l_quantity' THEN l_quantity WHEN 'l_discount' THEN l_discount ELSE l_tax END"
+    return f"CASE WHEN ({picked}) <= cut{number} THEN lo{number} ELSE hi{number} END"
+
+
+_STUMPS_SQL = (
+    "t1 AS (SELECT l_quantity, l_discount, l_tax, y, y - 0.5::DOUBLE AS g, 0.25::DOUBLE AS h FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem))",
+    _stump_sql(1, "t1"),
+    f"t2 AS (SELECT l_quantity, l_discount, l_tax, y - p AS g, p * (1 - p) AS h FROM (SELECT *, 1 / (1 + exp(-0.3::DOUBLE * ({_value_sql(1)}))) AS p FROM t1, best1))",
+    _stump_sql(2, "t2"),
+)
+
+
+def _line_items(data):
     label = F.when(F.col("l_returnflag") == "R", "Stimulated").otherwise("Repressed")
-    df = data.table("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rowIndex"), label.alias("obs"), *_STUMP_FEATURES)
-    model = boosting.fit_dart(df, list(_STUMP_FEATURES), "obs", TWO, BoostParams(rounds=1, max_depth=1, min_child_weight=0.0))
-    cells = df.groupBy(*_STUMP_FEATURES).agg(F.count("*").alias("n"))
-    return model.score(cells).select(*_STUMP_FEATURES, "n", F.round(F.col("margin")[0], 6).alias("margin"))
+    return data.table("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rowIndex"), label.alias("obs"), *_STUMP_FEATURES)
+
+
+_STUMP = BoostParams(rounds=1, max_depth=1, min_child_weight=0.0, rate_drop=0.0)
+
+
+@query("train_dart_stumps", with_sql(*_STUMPS_SQL, body=f"""SELECT l_quantity, l_discount, l_tax, count(*) AS n,
+    round(0.3::DOUBLE * ({_value_sql(1)}), 6) AS one_round,
+    round(0.3::DOUBLE * ({_value_sql(1)}) + 0.3::DOUBLE * ({_value_sql(2)}), 6) AS two_rounds,
+    round((0.3::DOUBLE / 1.3::DOUBLE + 0.3::DOUBLE / 1.3::DOUBLE) * ({_value_sql(1)}), 6) AS one_dropped
+    FROM lineitem, best1, best2 GROUP BY ALL"""))
+def train_dart_stumps(data):
+    """Newton stumps over all line items against plain SQL: one round, two rounds,
+    and a second round for which the first tree was dropped."""
+    encoded = boosting.encode(_line_items(data), list(_STUMP_FEATURES), "obs", TWO)
+    settings = {"one_round": _STUMP, "two_rounds": replace(_STUMP, rounds=2), "one_dropped": replace(_STUMP, rounds=2, rate_drop=1.0, skip_drop=0.0)}
+    out = data.table("lineitem").groupBy(*_STUMP_FEATURES).agg(F.count("*").alias("n"))
+    for name, params in settings.items():
+        out = out.withColumn(name, F.round(boosting.fit_encoded(encoded, params).margin(), 6))
+    return out
+
+
+@query("shap_stump", with_sql(_STUMPS_SQL[0], _STUMPS_SQL[1], f"""cells AS (SELECT row_number() OVER (ORDER BY l_quantity, l_discount, l_tax) AS RowID, l_quantity, l_discount, l_tax
+        FROM (SELECT DISTINCT l_quantity, l_discount, l_tax FROM lineitem))""",
+    body=" UNION ALL ".join(f"""SELECT RowID, '{f}' AS Feature, CASE WHEN f1 = '{f}' THEN round(0.3::DOUBLE * (({_value_sql(1)}) - (share1 * lo1 + (1 - share1) * hi1)), 6) ELSE 0 END AS SHAP
+        FROM cells, best1""" for f in _STUMP_FEATURES)))
+def shap_stump(data):
+    """Contributions of one stump have a closed form: the leaf minus the mean leaf."""
+    model = boosting.fit_dart(_line_items(data), list(_STUMP_FEATURES), "obs", TWO, _STUMP)
+    cells = stable_row_id(data.table("lineitem").select(*_STUMP_FEATURES).distinct(), _STUMP_FEATURES)
+    return rounded(shap.shap_contributions(cells, model).drop("Label"), "SHAP")
 
 
 # ---- plans ------------------------------------------------------------------------------------

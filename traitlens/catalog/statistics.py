@@ -277,7 +277,7 @@ def outlier_flags(data):
 
 
 @query("log_loss", with_sql(PREDICTIONS_SQL, """scored AS (SELECT Fold, Replicate, CASE WHEN pred = obs THEN 0.6 + (rowIndex % 40) / 100.0 ELSE (rowIndex % 41) / 100.0 END::DOUBLE AS p FROM predictions)""",
-    body="SELECT Fold, Replicate, round(avg(-ln(least(greatest(p, 1e-15), 1 - 1e-15))), 6) AS \"logLoss\" FROM scored GROUP BY ALL"))
+    body="SELECT Fold, Replicate, count(*) AS n, round(avg(-ln(least(greatest(p, 1e-15), 1 - 1e-15))), 6) AS \"logLoss\" FROM scored GROUP BY ALL"))
 def log_loss(data):
     row = F.col("rowIndex")
     p = F.when(F.col("pred") == F.col("obs"), 0.6 + (row % 40) / 100.0).otherwise((row % 41) / 100.0)

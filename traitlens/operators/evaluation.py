@@ -76,7 +76,7 @@ def flag_outliers(df: DataFrame, value: str = "Accuracy") -> DataFrame:
 def log_loss(df: DataFrame, keys: Sequence[str], p_observed: str, eps: float = 1e-15) -> DataFrame:
     """Mean negative log of the probability given to the observed class."""
     p = F.least(F.greatest(col(p_observed), F.lit(eps)), F.lit(1 - eps))
-    return df.groupBy(*[col(k) for k in keys]).agg(F.avg(-F.log(p)).alias("logLoss"))
+    return df.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("n"), F.avg(-F.log(p)).alias("logLoss"))
 
 
 def prediction_export(preds: DataFrame, data: DataFrame) -> DataFrame:
