@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from traitlens.operators import distribution, evaluation, resampling
+from traitlens.operators import distribution, evaluation, pairs, resampling
 
 
 def frame(spark, rows, schema):
@@ -135,3 +135,17 @@ def test_pair_distances_match_all_pairs(spark, mode):
         r = got[g]
         assert r.n_pairs == len(d)
         assert np.allclose([r.MeanDist, r.RmsDist, r.MaxDist], [d.mean(), np.sqrt((d**2).mean()), d.max()])
+
+
+@pytest.mark.parametrize("mode", ["within", "between"])
+def test_pair_distance_boxes_match_all_pairs(spark, mode):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": ["a"] * 50 + ["b"] * 12 + ["c"], "c": rng.choice(["S", "R"], 63), "v": np.round(rng.normal(size=63), 1)})
+    df = spark.createDataFrame(pdf)
+    got = {r.g: r for r in pairs.pair_distance_boxes(df, ["g"], "c", "v", mode, cuts=63, ranges=8).collect()}
+    assert set(got) == {"a", "b"}
+    for g in got:
+        rows = list(pdf[pdf.g == g].itertuples())
+        d = [abs(a.v - b.v) for i, a in enumerate(rows) for b in rows[i + 1 :] if (a.c == b.c) == (mode == "within")]
+        assert got[g].n_pairs == len(d)
+        assert np.allclose(got[g].q, np.quantile(d, [0.25, 0.5, 0.75]) * (math.sqrt(2) if mode == "within" else 1), atol=1e-8)

@@ -8,7 +8,7 @@ from traitlens.catalog.registry import query, r6, rounded, with_sql
 from traitlens.catalog.tables import labelled_entities, _clean_metadata
 from traitlens.functions import recode
 from traitlens.functions.names import col
-from traitlens.operators import attribution, cohorts, distribution, evaluation, ordering, resampling
+from traitlens.operators import attribution, cohorts, distribution, evaluation, ordering, pairs, resampling
 from traitlens.operators.reshape import resample_parts, to_long
 from traitlens.plans import report
 from traitlens.plans.holdout import holdout_labels
@@ -139,6 +139,17 @@ def pairwise_distance_between(data):
     return rounded(out, "MeanDist", "RmsDist", "MaxDist")
 
 
+@query("pairwise_distance_boxes", with_sql(
+    GENE_SQL, METADATA_SQL, LABELLED_SQL, FEATURE_SQL, _DIST_SQL,
+    "d AS (SELECT a.HOST, a.Feature, sqrt(2) * abs(a.x - b.x) AS v FROM long_rows a JOIN long_rows b ON a.HOST = b.HOST AND a.Feature = b.Feature AND a.Gene < b.Gene AND a.c = b.c)",
+    body="""SELECT HOST, Feature, count(*) AS n_pairs, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median,
+      round(quantile_cont(v, 0.75), 6) AS q3 FROM d GROUP BY ALL"""))
+def pairwise_distance_boxes(data):
+    """Quartiles of all within-class distances, counted without building the pairs."""
+    out = pairs.pair_distance_boxes(_distance_rows(data), ["HOST", "Feature"], "ExpressionCategory", "Value", cuts=63)
+    return out.select("HOST", "Feature", "n_pairs", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+
+
 # ---- cohorts ----------------------------------------------------------------------------------
 
 
