@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from traitlens.catalog.registry import query, r6, rounded, with_sql
+from traitlens.catalog.registry import NUDGE, query, rounded, rounded_ratios, with_sql
 from traitlens.catalog.tables import P1, P2, _round_sql
 from traitlens.functions.names import col
 from traitlens.operators import attribution, boosting, cohorts, evaluation, merging, shap
@@ -201,7 +201,7 @@ def shap_stump(data):
 
 @query("prepare_input", with_sql(GENE_SQL, CODING_SQL, CODON_SQL, METADATA_SQL, body=f"""
     SELECT HOST, Gene, a.* EXCLUDE (HOST, Gene), b.* EXCLUDE (HOST, Gene), c.* EXCLUDE (HOST, Gene),
-      m.ExpressionCategory, round(m.Log2FC, 6) AS Log2FC, round(m.FDR, 6) AS FDR
+      m.ExpressionCategory, round(m.Log2FC + {NUDGE}, 6) AS Log2FC, round(m.FDR + {NUDGE}, 6) AS FDR
     FROM (SELECT HOST, Gene, {_round_sql(P1, P1, '_Coding')} FROM coding_seq) a
     FULL JOIN (SELECT HOST, Gene, {_round_sql(P1, P1, '_EntireGene')} FROM gene_seq) b USING (HOST, Gene)
     FULL JOIN (SELECT HOST, Gene, {_round_sql(P2, P2, '_Coding')} FROM codon_seq) c USING (HOST, Gene)
@@ -212,7 +212,7 @@ def prepare_input(data):
     identities = prepare.clean_identities(data.metadata(), species)
     merged = prepare.merge_features(data.part1_coding(), data.part1_gene(), data.part2_coding(), identities, unique_on=None)
     texts = ("HOST", "Gene", "ExpressionCategory")
-    return rounded(merged, *[c for c in merged.columns if c not in texts])
+    return rounded_ratios(merged, *[c for c in merged.columns if c not in texts])
 
 
 def _experiment(data):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitlens.catalog.registry import query, r6, rounded, with_sql
+from traitlens.catalog.registry import NUDGE, query, r6, rounded, rounded_ratios, with_sql
 from traitlens.functions import names, recode
 from traitlens.functions.names import col, quoted
 from traitlens.operators import cohorts, merging, ordering, reshape
@@ -28,7 +28,7 @@ P1, P2 = part_one_sql("s"), part_two_sql("t")
 
 
 def _round_sql(columns: dict[str, str], wanted, suffix: str = "") -> str:
-    return ", ".join(f'round({columns[n]}, 6) AS "{n}{suffix}"' for n in wanted)
+    return ", ".join(f'round({columns[n]} + {NUDGE}, 6) AS "{n}{suffix}"' for n in wanted)
 
 
 def _scratch(data: SampleData) -> str:
@@ -54,13 +54,13 @@ def scan_ragged_tsv(data):
     part = data.part2_coding().select("HOST", "SeqName", "brCpG", "NonBrCpG", col("S-Bias"), col("TGC-Bias"))
     path = _land_ragged(part, _scratch(data))
     read = readers.read_ragged_tsv(data.spark, path, ("HOST", "SeqName"))
-    return rounded(read, "brCpG", "NonBrCpG", "S-Bias", "TGC-Bias")
+    return rounded_ratios(read, "brCpG", "NonBrCpG", "S-Bias", "TGC-Bias")
 
 
 @query(
     "union_tagged_hosts",
-    with_sql(GENE_SQL, body=f"""SELECT HOST, Gene, round({P1['GCcont']}, 6) AS "GCcont",
-        CASE WHEN HOST = 'en' THEN round({P1['CpG']}, 6) END AS "CpG" FROM gene_seq"""),
+    with_sql(GENE_SQL, body=f"""SELECT HOST, Gene, round({P1['GCcont']} + {NUDGE}, 6) AS "GCcont",
+        CASE WHEN HOST = 'en' THEN round({P1['CpG']} + {NUDGE}, 6) END AS "CpG" FROM gene_seq"""),
 )
 def union_tagged_hosts(data):
     """One file set per host, of which only one has the second feature."""
@@ -70,7 +70,7 @@ def union_tagged_hosts(data):
     for host in hosts:
         own = part.where(F.col("HOST") == host).drop("HOST")
         _land_ragged(own if host == "en" else own.drop("CpG"), f"{folder}/{host}_cdna.txt")
-    return rounded(readers.read_hosts(data.spark, hosts, "_cdna.txt", folder), "GCcont", "CpG")
+    return rounded_ratios(readers.read_hosts(data.spark, hosts, "_cdna.txt", folder), "GCcont", "CpG")
 
 
 @query(
@@ -161,7 +161,7 @@ _FAMILY = [n for n in P2 if n.startswith("br") or n in ("S-Bias", "C-Bias")]
 )
 def select_by_family(data):
     chosen = names.select_families(data.part2_coding(), ["HOST", "SeqName"], ["bridge_dinucleotide", "amino_acid_bias"])
-    return rounded(chosen, *chosen.columns[2:])
+    return rounded_ratios(chosen, *chosen.columns[2:])
 
 
 @query(
@@ -171,16 +171,16 @@ def select_by_family(data):
 def suffix_columns(data):
     part = names.select_families(data.part1_gene(), ["HOST", "Gene"], ["nucleotide_content"])
     out = names.add_suffix(part, ["HOST", "Gene"], "_EntireGene")
-    return rounded(out, *out.columns[2:])
+    return rounded_ratios(out, *out.columns[2:])
 
 
 _TO_T = ["ApT", "CpT", "GpT"]
 
 
-@query("harmonise_names", with_sql(GENE_SQL, body=f"SELECT HOST, Gene, {_round_sql(P1, _TO_T)}, round({P1['TpT']}, 6) AS \"UpT\" FROM gene_seq"))
+@query("harmonise_names", with_sql(GENE_SQL, body=f"SELECT HOST, Gene, {_round_sql(P1, _TO_T)}, round({P1['TpT']} + {NUDGE}, 6) AS \"UpT\" FROM gene_seq"))
 def harmonise_names(data):
     part = data.part1_gene().select("HOST", "Gene", F.col("ApT").alias("ApU"), F.col("CpT").alias("CpU"), F.col("GpT").alias("GpU"), F.col("TpT").alias("UpU"))
-    return rounded(names.harmonise(part), *_TO_T, "UpT")
+    return rounded_ratios(names.harmonise(part), *_TO_T, "UpT")
 
 
 _KEPT = [n for n in P2 if not n.startswith(("br", "NonBr"))]
@@ -191,7 +191,7 @@ _KEPT = [n for n in P2 if not n.startswith(("br", "NonBr"))]
     with_sql(CODON_SQL, body=f"SELECT HOST, '>' || Gene || '|T' || substr(Gene, 2, 8) AS SeqName, {_round_sql(P2, _KEPT)} FROM codon_seq"),
 )
 def drop_by_prefix(data):
-    return rounded(names.drop_prefixed(data.part2_coding(), "br", "NonBr"), *_KEPT)
+    return rounded_ratios(names.drop_prefixed(data.part2_coding(), "br", "NonBr"), *_KEPT)
 
 
 @query(
@@ -268,10 +268,10 @@ _LONG_FEATURES = ["CpG", "CG%", "GCcont"]
 
 @query(
     "unpivot_features",
-    with_sql(GENE_SQL, body=" UNION ALL ".join(f"SELECT HOST, Gene, '{n}' AS Feature, round({P1[n]}, 6) AS Value FROM gene_seq" for n in _LONG_FEATURES)),
+    with_sql(GENE_SQL, body=" UNION ALL ".join(f"SELECT HOST, Gene, '{n}' AS Feature, round({P1[n]} + {NUDGE}, 6) AS Value FROM gene_seq" for n in _LONG_FEATURES)),
 )
 def unpivot_features(data):
-    return rounded(reshape.to_long(data.part1_gene(), ["HOST", "Gene"], _LONG_FEATURES), "Value")
+    return rounded_ratios(reshape.to_long(data.part1_gene(), ["HOST", "Gene"], _LONG_FEATURES), "Value")
 
 
 @query(
@@ -341,7 +341,7 @@ def merge_full_outer(data):
     gene = names.add_suffix(data.part1_gene().select(*keys, "GCcont", "CpG"), keys, "_EntireGene")
     codon = reshape.identifier_parts(data.part2_coding()).select("HOST", "Gene", col("S-Bias"))
     merged = merging.merge_outer([coding, gene, names.add_suffix(codon, keys, "_Coding")], keys)
-    return rounded(merged, *merged.columns[2:])
+    return rounded_ratios(merged, *merged.columns[2:])
 
 
 @query(

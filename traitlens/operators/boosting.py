@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitlens.functions.names import col, quoted
-from traitlens.sources.store import settle
+from traitlens.sources.store import settle, settle_for_passes
 
 _SETTLE_EVERY = 8
 _LOW, _HIGH = "__low", "__high"
@@ -254,7 +254,7 @@ def encode(df: DataFrame, features: Sequence[str], label: str, levels: Sequence[
     ).where("__y >= 0")
     routed, names, origin = route_missing(data, features, nullable_features(data, features), keep=data.columns)
     table = VectorAssembler(inputCols=names, outputCol="__x").transform(routed).drop(*names)
-    return Encoded(settle(table), list(features), list(levels), origin)
+    return Encoded(settle_for_passes(table), list(features), list(levels), origin)
 
 
 def fit_dart(df: DataFrame, features: Sequence[str], label: str, levels: Sequence[str], params: BoostParams, row_id: str = "rowIndex") -> Ensemble:

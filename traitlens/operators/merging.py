@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from traitlens.functions.names import col
 from traitlens.operators.skew import hot_keys
-from traitlens.sources.store import BROADCAST_ROWS, settle
+from traitlens.sources.store import fits_broadcast, settle
 
 
 def merge_outer(parts: Sequence[DataFrame], keys: Sequence[str], null_safe: bool = False) -> DataFrame:
@@ -119,6 +119,6 @@ def listed_cohort(df: DataFrame, listed: DataFrame, keys: Sequence[str], replace
     A selected list is short by nature, yet it is only broadcast when a count
     says so.
     """
-    if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits_broadcast(listed):
         listed = F.broadcast(listed)
     return df.drop(*replaces).join(listed, list(keys))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -101,13 +102,16 @@ def pair_distance_boxes(
     brackets = brackets.withColumns({"__lo": F.lit(0.0), "__hi": F.when(all_equal, F.lit(0.0)).otherwise(F.col("__span") * (1 + 1e-12))})
     share = F.transform(F.sequence(F.lit(1), F.lit(cuts)), lambda m: F.col("__lo") + (F.col("__hi") - F.col("__lo")) * m / (cuts + 1))
     for _ in range(math.ceil(math.log(1 / tolerance) / math.log(cuts + 1))):
-        tried = settle(brackets.withColumn("__t", F.explode(share)))
-        counted = settle(reach(settle(tried.select(*group_cols, "__t").distinct())))
+        tried = brackets.withColumn("__t", F.explode(share))
+        counted = reach(tried.select(*group_cols, "__t").distinct()).withColumnsRenamed({k: f"__{k}" for k in [*keys, "__t"]})
+        same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(col(f"__{k}")) for k in [*keys, "__t"]])
         short = F.col("__reach") - F.col("__zero") + F.col("__equal") <= F.col("__k")
-        narrowed = join_small(tried, counted, [*keys, "__t"]).groupBy(*group_cols, "__equal", "__zero", "__span", "__k")
-        brackets = narrowed.agg(
-            F.coalesce(F.max(F.when(short, F.col("__t"))), F.first("__lo")).alias("__lo"),
-            F.coalesce(F.min(F.when(~short, F.col("__t"))), F.first("__hi")).alias("__hi"),
+        narrowed = tried.join(counted, same).groupBy(*group_cols, "__equal", "__zero", "__span", "__k")
+        brackets = settle(
+            narrowed.agg(
+                F.coalesce(F.max(F.when(short, F.col("__t"))), F.first("__lo")).alias("__lo"),
+                F.coalesce(F.min(F.when(~short, F.col("__t"))), F.first("__hi")).alias("__hi"),
+            )
         )
 
     found = brackets.groupBy(*group_cols).agg(F.map_from_entries(F.collect_list(F.struct("__k", "__hi"))).alias("__at"))

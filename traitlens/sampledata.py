@@ -35,13 +35,13 @@ CODING_MIN_CHARS = 300
 CODON_MIN_CHARS = 600
 
 SHAP_FEATURES = {
-    "CpG_Coding": "(avg(l_quantity) - 25.5) / 10.007",
-    "brCpG_Coding": "(avg(l_tax) - 0.04) * 15.013",
-    "CG%_EntireGene": "(avg(l_extendedprice) - 38000) / 40009",
-    "TA%_Coding": "(max(l_quantity) - 45) / 25.013",
-    "TpA_EntireGene": "(avg(l_discount) - 0.05) * 20.011",
-    "GCcont_Coding": "(min(l_quantity) - 5) / 20.011",
-    "S-Bias_Coding": "(max(l_extendedprice) - 90000) / 60007",
+    "CpG_Coding": "(avg(l_quantity) - 25.5) / 10.0071913",
+    "brCpG_Coding": "(avg(l_tax) - 0.04) * 15.0137719",
+    "CG%_EntireGene": "(avg(l_extendedprice) - 38000) / 40009.7719",
+    "TA%_Coding": "(max(l_quantity) - 45) / 25.0137113",
+    "TpA_EntireGene": "(avg(l_discount) - 0.05) * 20.0113717",
+    "GCcont_Coding": "(min(l_quantity) - 5) / 20.0117313",
+    "S-Bias_Coding": "(max(l_extendedprice) - 90000) / 60007.3713",
 }
 
 
@@ -166,7 +166,7 @@ class SampleData:
     def contributions(self) -> DataFrame:
         """Long contribution table from per-part averages; unused rows are exact 0."""
         wide = self.table("lineitem").groupBy("l_partkey").agg(*[F.expr(e).alias(n) for n, e in SHAP_FEATURES.items()])
-        value = F.when((F.col("RowID") % 11 == 0) & F.col("Feature").rlike("C(p)?G"), F.lit(0.0)).otherwise(F.round("Value", 9))
+        value = F.when((F.col("RowID") % 11 == 0) & F.col("Feature").rlike("C(p)?G"), F.lit(0.0)).otherwise(F.col("Value"))
         long = wide.withColumnRenamed("l_partkey", "RowID").unpivot(["RowID"], [col(n) for n in SHAP_FEATURES], "Feature", "Value")
         return long.select("RowID", F.lit("Stimulated").alias("Label"), "Feature", value.alias("SHAP"))
 
@@ -274,7 +274,7 @@ CONTRIBUTIONS_SQL = f"""
 shap_raw AS ({_LONG}),
 contributions AS (
   SELECT RowID, 'Stimulated' AS Label, Feature,
-         CASE WHEN RowID % 11 = 0 AND (Feature LIKE '%CpG%' OR Feature LIKE '%CG%') THEN 0.0 ELSE round(v, 9) END AS SHAP
+         CASE WHEN RowID % 11 = 0 AND (Feature LIKE '%CpG%' OR Feature LIKE '%CG%') THEN 0.0 ELSE v END AS SHAP
   FROM shap_raw),
 collapsed AS (
   SELECT RowID, Label,

@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 from functools import reduce
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitlens.functions.names import col
@@ -16,6 +17,7 @@ from traitlens.functions.names import col
 BROADCAST_ROWS = 200_000
 
 _LOCAL_ROOT: dict[str, str] = {}
+_FITS: WeakKeyDictionary[DataFrame, tuple[int, bool]] = WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -52,8 +54,26 @@ def settle(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*[col(c) for c in df.columns])
 
 
-def null_safe_equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(right[f"`{k}`"]) for k in keys])
+def settle_for_passes(df: DataFrame) -> DataFrame:
+    """Settle a table that many passes will read.
+
+    When the input had fewer splits than there are cores the table is small, and
+    is written once more in even parts.
+    """
+    table = settle(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() < cores and table.count() > 10_000 * cores:
+        table = settle(table.repartition(cores))
+    return table
+
+
+def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a settled table has at most ``max_rows`` rows; counted once per frame."""
+    known = _FITS.get(small)
+    if known is None or known[0] != max_rows:
+        known = (max_rows, small.limit(max_rows + 1).count() <= max_rows)
+        _FITS[small] = known
+    return known[1]
 
 
 def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -63,7 +83,7 @@ def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     that the join shuffles and adaptive execution handles skew.
     """
     renamed = small.withColumnsRenamed({k: f"__{k}" for k in keys})
-    if small.limit(max_rows + 1).count() <= max_rows:
+    if fits_broadcast(small, max_rows):
         renamed = F.broadcast(renamed)
     matches = reduce(lambda a, b: a & b, [col(k).eqNullSafe(col(f"__{k}")) for k in keys])
     return df.join(renamed, matches, how).drop(*[f"__{k}" for k in keys])
