@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from traitlens.catalog.registry import query, rounded, with_sql
 from traitlens.catalog.statistics import FEATURE_SQL, LABELLED_SQL, feature_rows
-from traitlens.functions.names import col
 from traitlens.operators import attribution
-from traitlens.sampledata import CONTRIBUTIONS_SQL, GENE_SQL, METADATA_SQL, SHAP_FEATURES, part_one_sql
+from traitlens.sampledata import CONTRIBUTIONS_SQL, GENE_SQL, METADATA_SQL, part_one_sql
 
 P1 = part_one_sql("s")
 _CLASS_SQL = """CASE Feature WHEN 'CpG_Coding' THEN 'CpG' WHEN 'brCpG_Coding' THEN 'CpG' WHEN 'CG%_EntireGene' THEN 'CpG' WHEN 'TA%_Coding' THEN 'TpA'

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from traitlens.catalog.registry import NUDGE, query, rounded, rounded_ratios, with_sql
 from traitlens.catalog.tables import P1, P2, _round_sql
 from traitlens.functions.names import col
-from traitlens.operators import attribution, boosting, cohorts, evaluation, merging, shap
+from traitlens.operators import attribution, boosting, merging, shap
 from traitlens.operators.boosting import BoostParams
 from traitlens.operators.ordering import stable_row_id
 from traitlens.plans import holdout, perturbation, prepare, training

@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from traitlens.catalog.registry import query, r6, rounded, with_sql
 from traitlens.catalog.tables import labelled_entities, _clean_metadata
-from traitlens.functions import recode
 from traitlens.functions.names import col
 from traitlens.operators import attribution, cohorts, distribution, evaluation, ordering, pairs, resampling
 from traitlens.operators.reshape import resample_parts, to_long
 from traitlens.plans import report
 from traitlens.plans.holdout import holdout_labels
-from traitlens.sampledata import CODING_SQL, CODON_SQL, GENE_SQL, METADATA_SQL, PREDICTIONS_SQL, part_one_sql, part_two_sql
+from traitlens.sampledata import CODON_SQL, GENE_SQL, METADATA_SQL, PREDICTIONS_SQL, part_one_sql, part_two_sql
 
 P1, P2 = part_one_sql("s"), part_two_sql("t")
 

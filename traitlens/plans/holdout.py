@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from traitlens.functions.names import PART_ONE_FAMILIES, PART_TWO_FAMILIES, add_suffix, harmonise, select_families
 from traitlens.operators.cohorts import holdout_extremes
 from traitlens.operators.evaluation import hit
-from traitlens.operators.merging import enrich, merge_outer, members, require_disjoint, require_unique
+from traitlens.operators.merging import enrich, merge_outer, require_disjoint, require_unique
 from traitlens.operators.reshape import identifier_parts
 
 # Families taken from each of the three holdout files.
