@@ -12,14 +12,19 @@ from traitlens.operators.ordering import exact_quantiles, rank_within
 from traitlens.sources.store import join_small, settle
 
 
+def _narrow(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Keys and value, written once.  The NULL filter comes after: before it, the
+    optimizer would push the value's whole expression down a second time."""
+    return settle(df.select(*[col(k) for k in keys], col(value).cast("double").alias("__x"))).where(F.col("__x").isNotNull())
+
+
 def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whisker ends within 1.5 box lengths, row and outlier counts per group.
 
     Quartiles come from the split-range search; whiskers need one more
     aggregation that combines on the map side.
     """
-    rows = df.select(*[col(k) for k in keys], col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    rows = settle(rows)  # narrow, and read four times below
+    rows = _narrow(df, keys, value)  # read four times below
     fences = settle(
         exact_quantiles(rows, keys, "__x", [0.25, 0.5, 0.75]).select(
             *[col(k) for k in keys], F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
@@ -49,8 +54,7 @@ def density(df: DataFrame, keys: Sequence[str], value: str, grid: int = 512) ->
     Rows are first shared linearly between their two grid points, an
     aggregation bounded by the grid; the kernel then runs over grid points only.
     """
-    rows = df.select(*[col(k) for k in keys], col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    rows = settle(rows)
+    rows = _narrow(df, keys, value)
     group_cols = [col(k) for k in keys]
     quartiles = settle(exact_quantiles(rows, keys, "__x", [0.25, 0.75]))
     moments = rows.groupBy(*group_cols).agg(F.stddev("__x").alias("__sd"), F.min("__x").alias("__min"), F.max("__x").alias("__max"))
@@ -119,7 +123,7 @@ def pair_distances(df: DataFrame, keys: Sequence[str], label: str, value: str, m
     The number of pairs is quadratic in the group, so pairs are never built.
     """
     rows = df.select(*[col(k) for k in keys], col(label).alias("__c"), col(value).cast("double").alias("__x"))
-    rows = settle(rows.where(F.col("__x").isNotNull() & F.col("__c").isNotNull()))
+    rows = settle(rows).where(F.col("__x").isNotNull() & F.col("__c").isNotNull())
     group_cols = [col(k) for k in keys]
     classes = settle(_pair_sums(rows, [*keys, "__c"]))
     same = classes.groupBy(*group_cols).agg(
