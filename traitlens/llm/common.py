@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,17 @@ from pyspark.sql import functions as F
 
 from traitlens.sources.store import settle, shared_root
 
-__all__ = ["held_out", "let", "new_folder", "settle", "table", "text_or_empty", "whole_groups"]
+__all__ = ["held_out", "let", "let_workers_import", "new_folder", "settle", "table", "text_or_empty", "whole_groups"]
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Put this checkout on the import path of Python workers.
+
+    Enough where executors see the same folders; elsewhere the package travels with ``--py-files``.
+    """
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

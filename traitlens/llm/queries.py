@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitlens.llm import bin_packing, quality_rules, secret_ledger, token_transducer
-from traitlens.llm.common import new_folder, table
+from traitlens.llm import bin_packing, positional_index, quality_rules, secret_ledger, token_transducer
+from traitlens.llm.common import let_workers_import, new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,8 +17,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str):
     def add(run: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = run
-        return run
+        def ready(spark: SparkSession, folder: str) -> DataFrame:
+            let_workers_import(spark)
+            return run(spark, folder)
+
+        QUERIES[name] = ready
+        return ready
 
     return add
 
@@ -64,3 +68,17 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_transducer.token_counts(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op4_positional_index")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = positional_index.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    listed = F.array_join(F.array_sort("items"), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
