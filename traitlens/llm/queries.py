@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitlens.llm import bin_packing, positional_index, quality_rules, secret_ledger, token_transducer
+from traitlens.llm import bin_packing, jaccard_join, positional_index, quality_rules, secret_ledger, token_transducer
 from traitlens.llm.common import let_workers_import, new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(listed, 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, folder, "documents"))
