@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitlens.llm import bin_packing, jaccard_join, positional_index, quality_rules, secret_ledger, substring_dedup, token_transducer
+from traitlens.llm import bin_packing, jaccard_join, line_blocks, positional_index, quality_rules, secret_ledger, substring_dedup, token_transducer
 from traitlens.llm.common import let_workers_import, new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_substring_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.kept_words(table(spark, folder, "documents"))
+
+
+@query("op1_line_blocks")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return line_blocks.main_texts(table(spark, folder, "pages"))
