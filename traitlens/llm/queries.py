@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitlens.llm import bin_packing, jaccard_join, line_blocks, positional_index, quality_rules, secret_ledger, substring_dedup, token_transducer
-from traitlens.llm.common import let_workers_import, new_folder, table
+from traitlens.llm import bin_packing, jaccard_join, language_id, line_blocks, positional_index, quality_rules, secret_ledger, substring_dedup, token_transducer, toxicity
+from traitlens.llm.common import held_out, let_workers_import, new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,17 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_line_blocks")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return line_blocks.main_texts(table(spark, folder, "pages"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = language_id.predicted(docs, language_id.train(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.train(docs, table(spark, folder, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
