@@ -36,9 +36,12 @@ from pyspark.sql import functions as F
 from traitlens.llm.common import held_out, settle, text_or_empty
 
 #: Bound of the labelled sample that training reads, in expectation.
-SAMPLE = 8_000
+SAMPLE = 5_000
 VOTERS = 200
+#: How often the annotator is taken to be right.
+ANNOTATOR = 0.95
 FEATURES = 1_024
+FULL_RATE = 30
 #: Word beginnings of these lengths are candidate patterns, besides whole words.
 BEGINNINGS = range(4, 8)
 _LEAST_DOCS = 5
@@ -75,8 +78,21 @@ class _Hits(dict):
         self[word] = hits
         return hits
 
-    def of(self, text: str) -> set[int]:
-        return {i for word in words_of(text) for i in self[word]}
+    def of(self, text: str) -> dict[int, float]:
+        """The patterns present and how much of the text has each: the whole from one word in ``FULL_RATE`` on."""
+        words = _WORD.findall(text.lower())
+        counts: dict[int, int] = {}
+        for word in filter(None, map(self.__getitem__, words)):
+            for i in word:
+                counts[i] = counts.get(i, 0) + 1
+        return {i: min(1.0, n * FULL_RATE / len(words)) for i, n in counts.items()}
+
+    def vector(self, text: str) -> np.ndarray:
+        """Presence of every pattern, then its rate."""
+        out, n = np.zeros(2 * len(self.numbers), np.float32), len(self.numbers)
+        for i, rate in self.of(text).items():
+            out[i], out[n + i] = 1, rate
+        return out
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -131,31 +147,34 @@ class LabelModel:
     weight: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        spoken = np.log(self.in_toxic / self.in_clean) * self.weight
-        silent = np.log((1 - self.in_toxic) / (1 - self.in_clean)) * self.weight
-        odds = votes @ spoken + (1 - votes) @ silent + math.log(self.share / (1 - self.share))
+        """A silent voter abstains, which says nothing; that all are silent is a vote of its own."""
+        odds = votes @ (np.log(self.in_toxic / self.in_clean) * self.weight) + math.log(self.share / (1 - self.share))
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
-    """Expectation maximisation from a first guess of the labels.
+def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> LabelModel:
+    """Expectation maximisation, begun at the annotator's labels.
 
-    After each round the correlation of voters within the two classes is taken
-    from what their rates leave unexplained; a voter's weight is one over the sum
-    of its squared correlations, so k copies of a voter weigh as one.
+    The last two columns are the annotator's votes; their rates stay at
+    ``ANNOTATOR`` and the share of toxic texts stays the labels' own, which keeps
+    the classes from drifting.  After each round the correlation of voters within
+    the two classes is taken from what their rates leave unexplained; a voter's
+    weight is one over the sum of its squared correlations with the other voters,
+    so k copies of a voter weigh as one.
     """
-    p, n = np.clip(start.astype(float), 0.02, 0.98), len(votes)
-    model = None
+    p, n = np.where(labels == 1, ANNOTATOR, 1 - ANNOTATOR), len(votes)
+    share, model = float(np.clip(np.mean(labels == 1), 0.01, 0.99)), None
     for _ in range(rounds):
-        toxic, clean = p.sum(), (1 - p).sum()
-        in_toxic = (p @ votes + 0.5) / (toxic + 1)
-        in_clean = ((1 - p) @ votes + 0.5) / (clean + 1)
+        in_toxic = (p @ votes + 0.2) / (p.sum() + 1)
+        in_clean = ((1 - p) @ votes + 0.2) / ((1 - p).sum() + 1)
         left = votes - (p[:, None] * in_toxic + (1 - p)[:, None] * in_clean)
         covariance = left.T @ left / max(n, 1)
         scale = np.sqrt(np.diag(covariance)) + 1e-9
-        correlation = covariance / scale[:, None] / scale
-        weight = 1 / np.maximum(1.0, (np.clip(correlation, 0, 1) ** 2).sum(axis=1))
-        model = LabelModel(in_toxic, in_clean, float(np.clip(toxic / max(n, 1), 0.01, 0.99)), weight)
+        correlation = np.clip(covariance / scale[:, None] / scale, 0, 1)
+        correlation[-2:], correlation[:, -2:] = 0, 0
+        weight = 1 / np.maximum(1.0, (correlation**2).sum(axis=1))
+        in_toxic[-2:], in_clean[-2:] = (ANNOTATOR, 1 - ANNOTATOR), (1 - ANNOTATOR, ANNOTATOR)
+        model = LabelModel(in_toxic, in_clean, share, weight)
         new = model.posterior(votes)
         if np.abs(new - p).max() < 1e-4:
             break
@@ -165,7 +184,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> L
 
 @dataclass(frozen=True)
 class Scorer:
-    """A linear classifier over the presence of patterns."""
+    """A linear classifier over the presence and the rates of patterns."""
 
     patterns: tuple[str, ...]
     weights: np.ndarray
@@ -176,7 +195,7 @@ class Scorer:
 
 
 def lexicon_scorer() -> Scorer:
-    return Scorer(tuple("=" + w for w in LEXICON), np.full(len(LEXICON), 4.0), -3.0)
+    return Scorer(tuple("=" + w for w in LEXICON), np.repeat([4.0, 0.0], len(LEXICON)), -3.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
@@ -196,30 +215,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hits = _Hits(numbers)
         for batch in batches:
-            yield pd.DataFrame({"row": batch["row"], "toxic": batch["toxic"], "hits": [sorted(hits.of(t)) for t in batch["text"]]})
-
-    encoded = settle(rows.mapInPandas(present, "row long, toxic int, hits array<int>"))
-    # Bounded: a few patterns of each sampled row.
-    local = encoded.toPandas()
-    votes = np.zeros((len(local), len(voters) + 2))
-    place = np.full(len(patterns), -1)
-    for k, voter in enumerate(voters):
-        place[numbers[voter]] = k
-    for r, hits in enumerate(local["hits"]):
-        spoken = place[np.asarray(hits, int)]
-        votes[r, spoken[spoken >= 0]] = 1
+            yield pd.DataFrame({"row": batch["row"], "toxic": batch["toxic"], "features": [hits.vector(t) for t in batch["text"]]})
+
+    encoded = settle(rows.mapInPandas(present, "row long, toxic int, features array<float>"))
+    # Bounded: the voters' part of each sampled row.
+    spoken = F.transform(F.array(*[F.lit(numbers[v] + 1) for v in voters]), lambda i: F.element_at("features", i))
+    local = encoded.select("row", "toxic", spoken.alias("spoken")).toPandas()
+    votes = np.zeros((len(local), len(voters) + 3))
+    votes[:, :-3] = np.stack(local["spoken"])
     toxic_voters = [k for k, v in enumerate(voters) if scores.get(v, 1.0) > 0]
-    votes[:, -2] = votes[:, toxic_voters].sum(axis=1) == 0
-    votes[:, -1] = local["toxic"]
+    votes[:, -3] = votes[:, toxic_voters].sum(axis=1) == 0
+    votes[:, -2], votes[:, -1] = local["toxic"], 1 - local["toxic"]
     model = fit_label_model(votes, local["toxic"].to_numpy())
     local["posterior"] = model.posterior(votes)
     spark = docs.sparkSession
     posteriors = spark.createDataFrame(local[["row", "posterior"]])
-    dense = F.transform(F.sequence(F.lit(0), F.lit(len(patterns) - 1)), lambda i: F.array_contains("hits", i).cast("double"))
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight"))))
-    examples = encoded.join(F.broadcast(posteriors), "row").select("hits", both.alias("e")).where("e.weight > 0.01")
-    examples = settle(examples.select(array_to_vector(dense).alias("features"), "e.label", "e.weight"))
-    fitted = LogisticRegression(maxIter=60, regParam=0.002, standardization=False, weightCol="weight").fit(examples)
+    examples = encoded.join(F.broadcast(posteriors), "row").select("features", both.alias("e")).where("e.weight > 0.01")
+    examples = examples.select(array_to_vector("features").alias("features"), "e.label", "e.weight").cache()
+    fitted = LogisticRegression(maxIter=60, regParam=0.0005, standardization=False, weightCol="weight").fit(examples)
+    examples.unpersist()
     return Scorer(tuple(patterns), fitted.coefficients.toArray(), float(fitted.intercept))
 
 
@@ -230,9 +245,10 @@ def scored(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: st
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = shared.value
-        hits, weights = scorer.hits(), scorer.weights.tolist()
+        hits, n = scorer.hits(), len(scorer.patterns)
+        present, rate = scorer.weights[:n].tolist(), scorer.weights[n:].tolist()
         for batch in batches:
-            sums = [scorer.intercept + sum(weights[i] for i in hits.of(t)) for t in batch["text"]]
+            sums = [scorer.intercept + sum(present[i] + r * rate[i] for i, r in hits.of(t).items()) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": 1 / (1 + np.exp(-np.clip(np.asarray(sums, float), -500, 500)))})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
