@@ -74,20 +74,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, set key (NULL without words), number of shingles and signature of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("key binary, shingles int, signature binary")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys, counts, signatures = [], [], []
-            for words in text_hashes(batch["text"]):
+            for words in text_hashes(batch):
                 found = shingle_set(words)
                 counts.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 signatures.append(signature(found).tobytes() if len(found) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": keys, "shingles": counts, "signature": signatures})
+            yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "shingles": counts, "signature": pd.Series(signatures, dtype=object)})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInPandas(sketch, f"doc_id {kind}, key binary, shingles int, signature binary")
+    made = sketch.asNondeterministic()(text_or_empty(text_col))
+    return docs.select(F.col(id_col).alias("doc_id"), made.alias("s")).select("doc_id", "s.*")
 
 
 def posterior(matches: int, seen: int, threshold: float) -> float:

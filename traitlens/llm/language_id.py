@@ -16,16 +16,17 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traitlens.llm.common import held_out, settle, text_or_empty
@@ -172,16 +173,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     return model
 
 
-def predicted(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` with lang_pred and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+def language_of(model: LanguageModel, context: SparkContext) -> Callable[[Column], Column]:
+    """A function of a text Column that gives struct (lang_pred, score)."""
+    shared = context.broadcast(model)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:
-            languages, scores = [UNDETERMINED] * len(batch), np.zeros(len(batch))
-            texts = batch["__text"].tolist()
+            languages, scores, texts = [UNDETERMINED] * len(batch), np.zeros(len(batch)), batch.tolist()
             for at in range(0, len(texts) if model.languages else 0, _TEXTS):
                 vectors = [ngram_vector(t) for t in texts[at : at + _TEXTS]]
                 rows = [at + k for k, v in enumerate(vectors) if v is not None]
@@ -190,7 +190,20 @@ def predicted(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("d
                     scores[rows] = confidence
                     for row, language in zip(rows, found):
                         languages[row] = language
-            yield batch[list(keep)].assign(lang_pred=languages, score=scores)
+            yield pd.DataFrame({"lang_pred": languages, "score": scores})
 
-    rows = docs.select(*keep, text_or_empty(text_col).alias("__text"))
-    return rows.mapInPandas(predict, f"{kinds}, lang_pred string, score double")
+    # Not to be computed again where a filter on it is pushed down.
+    return identify.asNondeterministic()
+
+
+def predicted(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred and score of every row; a row map without a shuffle."""
+    identify = language_of(model, docs.sparkSession.sparkContext)
+    return docs.select(F.col(id_col).alias("doc_id"), identify(text_or_empty(text_col)).alias("p")).select("doc_id", "p.*")
+
+
+def accepted(docs: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows whose language is determined with at least this score, all columns kept."""
+    identify = language_of(model, docs.sparkSession.sparkContext)
+    judged = docs.withColumn("__language", identify(text_or_empty(text_col)))
+    return judged.where((F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= least)).drop("__language")

@@ -163,12 +163,12 @@ def main_text(page: str | None, span: int = SPAN, surge: int = SURGE) -> str:
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page; a row map without a shuffle."""
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            texts = [main_text(page) for page in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pd.Series([main_text(page) for page in batch], dtype=object)
 
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    return rows.mapInPandas(extract, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
+    text = extract.asNondeterministic()(F.coalesce(F.col(html_col), F.lit("")))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text.alias("text"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))

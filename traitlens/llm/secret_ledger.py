@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from traitlens.llm.common import let, text_or_empty
+from traitlens.llm.common import let, settle, text_or_empty
+from traitlens.sources.store import join_small
 
 
 @dataclass(frozen=True)
@@ -156,12 +157,12 @@ class BlobLedger:
     def joined(self, versions: DataFrame, text_col: str = "text", rules: Sequence[SecretRule] = RULES) -> DataFrame:
         """All rows of ``versions`` with their ``spans``; a row without findings has an empty array.
 
-        Only blobs with findings are on the other side.  The join is a plain left
-        join, so adaptive execution can split a blob that many rows share.
+        Only blobs with findings are on the other side: broadcast while they are
+        few, else joined by a shuffle in which adaptive execution can split a blob
+        that many rows share.
         """
-        found = self.findings(rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-        rows = with_blob(versions, text_col, "__own")
-        rows = rows.join(found, F.col("__own") == F.col("__blob"), "left").drop("__own", "__blob")
+        found = settle(self.findings(rules).select(F.col("blob").alias("__own"), F.col("spans").alias("__spans")))
+        rows = join_small(with_blob(versions, text_col, "__own"), found, ["__own"], "left").drop("__own")
         return rows.withColumn("__spans", F.coalesce("__spans", F.array().cast(SPANS)))
 
     def held_by(self, rules: Sequence[SecretRule] = RULES) -> DataFrame:

@@ -244,14 +244,13 @@ def counts_for(model_file: str) -> _Counts:
 
 def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row; a row map without a shuffle."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counts = counts_for(model_file)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": [count_text(t, counts) for t in batch["text"]]})
+            yield pd.Series([count_text(t, counts) for t in batch], dtype="int64")
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    counted = rows.mapInPandas(count, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), count.asNondeterministic()(text).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -239,17 +239,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
 
 
 def scored(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """doc_id and score of every row; a row map without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = shared.value
         hits, n = scorer.hits(), len(scorer.patterns)
         present, rate = scorer.weights[:n].tolist(), scorer.weights[n:].tolist()
         for batch in batches:
-            sums = [scorer.intercept + sum(present[i] + r * rate[i] for i, r in hits.of(t).items()) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": 1 / (1 + np.exp(-np.clip(np.asarray(sums, float), -500, 500)))})
+            sums = [scorer.intercept + sum(present[i] + r * rate[i] for i, r in hits.of(t).items()) for t in batch]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.asarray(sums, float), -500, 500))))
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInPandas(score, f"doc_id {kind}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), score.asNondeterministic()(text_or_empty(text_col)).alias("score"))
