@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from traitlens.llm import bin_packing, jaccard_join, language_id, line_blocks, positional_index, quality_rules, secret_ledger, substring_dedup, token_transducer, toxicity
 from traitlens.llm.common import held_out, let_workers_import, new_folder, table
+from traitlens.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(name: str):
