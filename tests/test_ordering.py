@@ -117,3 +117,47 @@ def test_hot_groups_are_ranked_like_any_other(spark, monkeypatch):
     known = pdf.v.notna()
     want = (-pdf.v).groupby([pdf.g.fillna("~"), pdf.k]).rank(method="min")
     assert len(got) == 3000 and (got.Rank[known] == want[known]).all()
+
+
+@pytest.mark.parametrize("hot_rows", [1, None])
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("kind", ["long", "decimal(38,6)", "double", "date"])
+def test_ranks_do_not_depend_on_group_size(spark, monkeypatch, hot_rows, descending, kind):
+    """The window and the value ranges agree on exact types, NaN and NULL."""
+    from traitlens.operators import skew
+
+    if hot_rows:
+        monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
+    big = 2**53
+    values = {
+        "long": [big, big + 1, big + 1, None, -5],
+        "decimal(38,6)": ["9007199254740993.000001", "9007199254740993.000002", None, "1"],
+        "double": ["NaN", "1.5", "NaN", "Infinity", None, "-0.0", "0.0"],
+        "date": ["2020-01-02", "2020-01-01", None, "2020-01-02"],
+    }[kind]
+    rows = [(g, None if v is None else str(v)) for g in "ab" for v in values]
+    df = spark.createDataFrame(rows, "g string, s string").select("g", F.col("s").cast(kind).alias("v"))
+    got = ordering.rank_groups(df, ["g"], F.col("v"), descending=descending).select("g", F.col("v").cast("string"), "Rank").collect()
+    df.createOrReplaceTempView("ranked_rows")
+    order = "DESC NULLS LAST" if descending else "ASC NULLS LAST"
+    want = spark.sql(f"SELECT g, CAST(v AS string) AS v, CAST(rank() OVER (PARTITION BY g ORDER BY v {order}) AS long) AS Rank FROM ranked_rows").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+def test_text_is_refused_at_every_size(spark):
+    with pytest.raises(TypeError):
+        ordering.rank_groups(spark.createDataFrame([("a", "x")], "g string, v string"), ["g"], F.col("v"))
+
+
+def test_pieces_of_one_value_follow_its_rows(spark, monkeypatch):
+    """One value, NULLs and ids that lie together: no window gets many more rows than a piece."""
+    monkeypatch.setattr(ordering, "PIECE_ROWS", 500)
+    df = spark.range(20_000).select("id", F.when(F.col("id") < 8_000, F.lit(1.0)).when(F.col("id") < 12_000, F.lit(None)).otherwise(F.rand(3)).alias("v"))
+    tagged = ordering._ranged(df.withColumn("__all", F.lit(1)), ["__all"], "v", 32)
+    cut = ordering._with_tiebreak_slices(tagged, ["__all"], "id").where("__point")
+    largest = cut.groupBy("__range", "__sub").count().agg(F.max("count")).first()[0]
+    assert largest <= 510
+    out = ordering.rank_within(df, [], F.col("v"), position="p", tiebreak="id").toPandas().sort_values("p")
+    assert (out.p.to_numpy() == np.arange(1, 20_001)).all()
+    known = out[out.v.notna()]
+    assert known.v.is_monotonic_increasing and known[known.v == 1.0].id.is_monotonic_increasing

@@ -22,13 +22,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from traitlens.functions.names import col
 from traitlens.operators.skew import hot_keys, key_text
 from traitlens.sources.store import join_small, settle
 
 _RANGE, _SUB, _POINT, _N, _START, _FIRST = "__range", "__sub", "__point", "__n", "__start", "__first"
-_SUBRANGES = 16
+# Rows that share one value are cut into pieces of about this many rows.
+PIECE_ROWS = 100_000
 _BROADCAST_CELLS = 2_000_000
 
 
@@ -80,7 +82,7 @@ def _ranged(df: DataFrame, keys: Sequence[str], value: str, ranges: int) -> Data
 
 
 def _with_starts(tagged: DataFrame, keys: Sequence[str], levels: Sequence[str]) -> DataFrame:
-    """Add the number of rows of the group that lie before each row's range.
+    """Add the number of rows of the group that lie before each row's range, and the rows of the range itself.
 
     The range counts are small (groups x ranges) and are pre-aggregated before
     their shuffle, so a hot group costs no more than any other.
@@ -96,6 +98,20 @@ def _with_starts(tagged: DataFrame, keys: Sequence[str], levels: Sequence[str])
     return join_small(tagged, settle(counts), [*keys, *levels])
 
 
+def _pieces(rows: Column) -> Column:
+    return F.ceil(rows / F.lit(float(PIECE_ROWS)))
+
+
+def _with_tiebreak_slices(tagged: DataFrame, keys: Sequence[str], tiebreak: str) -> DataFrame:
+    """Cut each value that stands on a point into slices of its own tiebreak span, as many as its rows ask for."""
+    point = tagged.where(_POINT).groupBy(*[col(k) for k in keys], _RANGE)
+    spans = point.agg(F.count("*").alias("__rows"), F.min(tiebreak).alias("__low"), F.max(tiebreak).alias("__high"))
+    joined = join_small(tagged, settle(spans), [*keys, _RANGE], "left")
+    width = F.greatest(F.lit(1.0), (F.col("__high") - F.col("__low") + 1) / _pieces(F.col("__rows")))
+    slice_ = F.floor((F.col(tiebreak) - F.col("__low")) / width).cast("int")
+    return joined.withColumn(_SUB, F.when(F.col(_POINT), F.coalesce(slice_, F.lit(-1))).otherwise(F.lit(0))).drop("__rows", "__low", "__high")
+
+
 def rank_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -112,52 +128,63 @@ def rank_within(
 
     ``rank`` names the minimum-tie rank, ``average`` the average-tie rank,
     ``position`` a unique 1..n position where ties follow the numeric
-    ``tiebreak`` column.  NULL values rank last in either direction.
+    ``tiebreak`` column.  Values keep their own type.  NULL ranks last in either
+    direction; NaN is the largest number, as in any Spark sort.
     """
     if position and not tiebreak:
         raise ValueError("a unique position needs a tiebreak column")
     ranges = ranges or default_ranges(df)
     columns = [col(c) for c in df.columns]
     work, groups = _with_group(df, keys)
-    work = work.withColumn("__v", (-value if descending else value).cast("double"))
+    work = work.withColumn("__v", value)
+    _check_rankable(work, "__v")
     tagged = _ranged(work, groups, "__v", ranges)
+    if descending:
+        last = 2 * ranges + 2  # NULLs stay behind all ranges
+        tagged = tagged.withColumn(_RANGE, F.when(F.col(_RANGE) == last, F.lit(last)).otherwise(F.lit(2 * ranges) - F.col(_RANGE)))
 
-    # Rows on a point need no ordering among themselves, so they are spread out:
-    # by tiebreak range when positions are wanted, else by hash.
-    if tiebreak:
-        low, high = df.agg(F.min(tiebreak), F.max(tiebreak)).first()
-        width = max(1.0, ((high or 0) - (low or 0) + 1) / _SUBRANGES)
-        spread = F.floor((F.col(tiebreak) - F.lit(low or 0)) / F.lit(width)).cast("int")
+    # Rows on a point share one value.  For positions they are cut by their tiebreak; ranks follow from
+    # the counts alone, so there any piece will do.
+    if position:
+        placed = _with_starts(_with_tiebreak_slices(tagged, groups, tiebreak), groups, [_RANGE, _SUB])
     else:
-        spread = F.pmod(F.xxhash64(*columns), F.lit(_SUBRANGES)).cast("int")
-    tagged = tagged.withColumn(_SUB, F.when(F.col(_POINT), spread).otherwise(F.lit(0)))
-    placed = _with_starts(tagged, groups, [_RANGE, _SUB])
+        placed = _with_starts(tagged, groups, [_RANGE])
+        spread = F.pmod(F.xxhash64(*columns), _pieces(F.col(_N))).cast("int")
+        placed = placed.withColumn(_SUB, F.when(F.col(_POINT), spread).otherwise(F.lit(0)))
 
     within = W.partitionBy(*[col(k) for k in groups], _RANGE, _SUB)
-    by_value = within.orderBy("__v")
+    order = F.col("__v").desc() if descending else F.col("__v").asc()
+    by_value = within.orderBy(order)
     out = []
     if rank:
         out.append(
             F.when(F.col(_POINT), F.col(_FIRST) + 1).otherwise(F.col(_START) + F.rank().over(by_value)).cast("long").alias(rank)
         )
     if average:
-        peers = F.count("*").over(by_value.rangeBetween(0, 0))
+        peers = F.count("*").over(by_value.rangeBetween(W.currentRow, W.currentRow))
         out.append(
             F.when(F.col(_POINT), F.col(_FIRST) + (F.col(_N) + 1) / 2.0)
             .otherwise(F.col(_START) + F.rank().over(by_value) + (peers - 1) / 2.0)
             .alias(average)
         )
     if position:
-        out.append((F.col(_START) + F.row_number().over(within.orderBy("__v", tiebreak))).cast("long").alias(position))
+        out.append((F.col(_START) + F.row_number().over(within.orderBy(order, tiebreak))).cast("long").alias(position))
     return placed.select(*columns, *out)
 
 
+def _check_rankable(df: DataFrame, name: str) -> None:
+    """Split points need numbers, dates or timestamps; a text is refused whatever the size of its groups."""
+    if not isinstance(df.schema[name].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise TypeError(f"cannot rank {df.schema[name].dataType.simpleString()} values")
+
+
 def rank_groups(df: DataFrame, keys: Sequence[str], value: Column, *, descending: bool = False, rank: str = "Rank") -> DataFrame:
     """Minimum-tie rank within many groups that are small as a rule.
 
-    A window does the work; a group that a sketch finds too large for one task
-    is ranked by value ranges instead.  NULL values rank last.
+    A window does the work; a group with too many rows for one task is ranked by
+    value ranges instead, with the same result.  NULL values rank last.
     """
+    _check_rankable(df.select(value.alias("__v")), "__v")
     hot = list(hot_keys([df], keys)[0])
     order = value.desc_nulls_last() if descending else value.asc_nulls_last()
     by_window = F.rank().over(W.partitionBy(*[col(k) for k in keys]).orderBy(order)).cast("long")
