@@ -107,3 +107,16 @@ def test_group_statistics_keep_null_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0)], "g string, v double")
     out = attribution.broadcast_statistic(df, ["g"], {"top": F.max("v")}).toPandas()
     assert len(out) == 3 and out[out.g.isna()].top.item() == 5.0
+
+
+def test_importance_by_host_keeps_one_row_per_label(spark):
+    """Three labels, two hosts, two features: ranks stay within a label and shares sum to one."""
+    rows = [(r, label, f, float(v + r)) for r in range(4) for label, v in (("A", 1), ("B", 10), ("C", 3)) for f, v in (("CpG_Coding", v), ("TpA_Coding", 7 - v))]
+    shap = spark.createDataFrame(rows, "RowID long, Label string, Feature string, SHAP double")
+    data = spark.createDataFrame([(r, "h" + str(r % 2)) for r in range(4)], "rowIndex long, Host string")
+    out = attribution.importance_by_host(shap, data).toPandas()
+    assert len(out) == 12 and not out.duplicated(["Host", "Feature", "Label"]).any()
+    assert abs(out.HostContribution.sum() - 1) < 1e-9
+    for _, one in out.groupby("Label"):
+        ranked = one.drop_duplicates("Feature").sort_values("OverallMeanSHAP", ascending=False)
+        assert ranked.Rank.tolist() == [1, 2]

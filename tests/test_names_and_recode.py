@@ -93,3 +93,13 @@ def test_selected_class_and_strict(spark):
 def test_label_prints_missing_category_as_na(spark):
     df = spark.createDataFrame([(None, "KO"), ("IRG", "KO")], "c string, t string")
     assert [r[0] for r in df.select(recode.labelled_treatment(F.col("c"), F.col("t"))).collect()] == ["NA (KO)", "IRG (KO)"]
+
+
+def test_strict_recode_fails_even_when_the_column_is_not_read(spark):
+    df = spark.createDataFrame([("x", 1), ("unknown", 2)], "a string, b int")
+    checked = recode.recode_strict(df, {"a": {"x": "X"}})
+    with pytest.raises(Exception, match="no mapping for unknown"):
+        checked.select("b").collect()
+    with pytest.raises(Exception, match="no mapping for unknown"):
+        checked.count()
+    assert [tuple(r) for r in recode.recode_strict(df.limit(1), {"a": {"x": "X"}}).collect()] == [("X", 1)]

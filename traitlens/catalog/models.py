@@ -29,19 +29,29 @@ THREE = ("NonDE", "Stimulated", "Repressed")
 _NULLABLE = [i for i in range(64) if i % 8 == 0]
 
 
+def _gap_sql(i: int) -> str:
+    value = f"embedding[{i + 1}]::DOUBLE"
+    return f"CASE WHEN (vec_id + {i}) % 17 <> 0 THEN {value} END" if i in _NULLABLE else value
+
+
 @query("missing_route_encode", "WITH g AS (SELECT vec_id AS rowIndex, "
-    + ", ".join(f"CASE WHEN (vec_id + {i}) % 17 <> 0 THEN embedding[{i + 1}]::DOUBLE END AS f{i:02d}" for i in _NULLABLE)
+    + ", ".join(f"{_gap_sql(i)} AS f{i:02d}" for i in range(64))
     + " FROM embeddings) SELECT rowIndex, "
-    + ", ".join(f'round(f{i:02d}, 6) AS "f{i:02d}__low", f{i:02d} IS NULL AS "f{i:02d}__below", round(f{i:02d}, 6) AS "f{i:02d}__high", f{i:02d} IS NULL AS "f{i:02d}__above"' for i in _NULLABLE)
+    + ", ".join(
+        f'round(f{i:02d}, 6) AS "f{i:02d}__low", f{i:02d} IS NULL AS "f{i:02d}__below", round(f{i:02d}, 6) AS "f{i:02d}__high", f{i:02d} IS NULL AS "f{i:02d}__above"'
+        if i in _NULLABLE else f'round(f{i:02d}, 6) AS "f{i:02d}__all"'
+        for i in range(64))
     + " FROM g")
 def missing_route_encode(data):
-    """Both copies of each nullable feature; the far stand-ins are shown as flags."""
+    """All components: both copies of each nullable feature, the far stand-ins shown as flags; one copy of the others."""
     df, features = data.trainable()
-    chosen = [features[i] for i in _NULLABLE]
-    df = df.select("rowIndex", *chosen)
-    encoded, names, _ = boosting.route_missing(df, chosen, boosting.nullable_features(df, chosen))
+    df = df.select("rowIndex", *features)
+    encoded, names, _ = boosting.route_missing(df, features, boosting.nullable_features(df, features))
     shown = []
     for name in names:
+        if name.endswith("__all"):
+            shown.append(F.round(col(name), 6).alias(name))
+            continue
         far = F.abs(col(name)) > 1e307
         low = name.endswith("__low")
         away = far & (col(name) < 0 if low else col(name) > 0)
@@ -216,7 +226,7 @@ def prepare_input(data):
 
 
 def _experiment(data):
-    """Scores, class effects, gene names and the lists that play the experiments."""
+    """Scores, class effects, gene names and the lists that play the experiments: every part has a role by its size."""
     parts = data.table("part").select(
         "p_size", "p_brand", "p_type", F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("EnsemblID"), F.col("p_name").alias("Gene")
     )
@@ -225,34 +235,34 @@ def _experiment(data):
     scores = info.select("EnsemblID", F.round(1 / (1 + F.exp(-F.col("Log2FC"))), 6).alias("predicted_prob"))
     names = parts.select("EnsemblID", "Gene")
     kind = F.element_at(F.array(F.lit("IRG"), F.lit("ISG"), F.lit("Random")), F.col("p_size") % 3 + 1)
-    top = parts.where(F.col("p_size") <= 6).select("EnsemblID", kind.alias("ExpressionCategory"), "Gene")
-    random = perturbation.random_holdout(parts.where(F.col("p_size").between(7, 15)), names)
-    listed = parts.where(F.col("p_size").between(16, 25)).select(
+    top = parts.where(F.col("p_size") <= 10).select("EnsemblID", kind.alias("ExpressionCategory"), "Gene")
+    random = perturbation.random_holdout(parts.where(F.col("p_size").between(11, 20)), names)
+    listed = parts.where(F.col("p_size").between(21, 34)).select(
         F.col("Gene").alias("gene"), F.col("EnsemblID").alias("ensemble_id"),
-        F.when(F.col("p_size") < 20, "ZAP-IN").otherwise("ZAP-DEP").alias("ko_experiment"),
-        F.when(F.col("p_size") < 18, "ZAP-IN").when(F.col("p_size") < 23, "ZAP-DEP").alias("exogenous_zap_experiment"),
+        F.when(F.col("p_size") < 27, "ZAP-IN").otherwise("ZAP-DEP").alias("ko_experiment"),
+        F.when(F.col("p_size") < 25, "ZAP-IN").when(F.col("p_size") < 31, "ZAP-DEP").alias("exogenous_zap_experiment"),
     )
     sheet = lambda low, high: parts.where(F.col("p_size").between(low, high)).select(
         F.when(F.col("p_size") == low, F.lit(None)).when(F.col("p_size") == low + 1, F.lit("NA")).otherwise(F.col("EnsemblID")).alias("EnsemblID"),
         F.element_at(F.array(F.lit("a-Top50-ISGs"), F.lit("b-other"), F.lit("c-Top50-IRGs")), F.col("p_size") % 3 + 1).alias("Rank"),
     )
-    outside = parts.where(F.col("p_size") > 40).select(
+    outside = parts.where(F.col("p_size") > 20).select(
         F.col("Gene").alias("Gene_Name"), "EnsemblID",
         F.element_at(F.array(F.lit("TOP50 UP"), F.lit("Random50"), F.lit("TOP50 DOWN"), F.lit("unlisted")), F.col("p_size") % 4 + 1).alias("Rank"),
     )
     baseline = perturbation.overview(top, random, effects, scores, check=False)
-    return dict(effects=effects, scores=scores, names=names, baseline=baseline, random=random, listed=listed, control=sheet(26, 32), knocked=sheet(33, 40), outside=outside)
+    return dict(effects=effects, scores=scores, names=names, baseline=baseline, random=random, listed=listed, control=sheet(35, 42), knocked=sheet(43, 50), outside=outside)
 
 
 _EXPERIMENT_SQL = (
     CONTRIBUTIONS_SQL,
     "parts AS (SELECT p_size, 'P' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS EnsemblID, p_name AS Gene FROM part)",
     "effects AS (SELECT d.Gene AS EnsemblID, c.SHAP, round(1 / (1 + exp(-d.Log2FC)), 6) AS predicted_prob FROM contribution_data d LEFT JOIN collapsed c ON c.RowID = d.rowIndex AND c.FeatureClass = 'CpG')",
-    "random_ AS (SELECT EnsemblID, Gene FROM parts WHERE p_size BETWEEN 7 AND 15 ORDER BY md5(EnsemblID || '-2342147'), EnsemblID LIMIT 50)",
-    """overview AS (SELECT EnsemblID, Gene, CASE p_size % 3 WHEN 0 THEN 'Top 50 IRGs' WHEN 1 THEN 'Top 50 ISGs' ELSE 'Random' END AS Category FROM parts WHERE p_size <= 6
+    "random_ AS (SELECT EnsemblID, Gene FROM parts WHERE p_size BETWEEN 11 AND 20 ORDER BY md5(EnsemblID || '-2342147'), EnsemblID LIMIT 50)",
+    """overview AS (SELECT EnsemblID, Gene, CASE p_size % 3 WHEN 0 THEN 'Top 50 IRGs' WHEN 1 THEN 'Top 50 ISGs' ELSE 'Random' END AS Category FROM parts WHERE p_size <= 10
         UNION ALL SELECT EnsemblID, Gene, 'Holdout Random' FROM random_)""",
-    """listed AS (SELECT EnsemblID, Gene, CASE WHEN p_size < 20 THEN 'ZAP-IN' ELSE 'ZAP-DEP' END AS ko,
-        CASE WHEN p_size < 18 THEN 'ZAP-IN' WHEN p_size < 23 THEN 'ZAP-DEP' END AS exo FROM parts WHERE p_size BETWEEN 16 AND 25)""",
+    """listed AS (SELECT EnsemblID, Gene, CASE WHEN p_size < 27 THEN 'ZAP-IN' ELSE 'ZAP-DEP' END AS ko,
+        CASE WHEN p_size < 25 THEN 'ZAP-IN' WHEN p_size < 31 THEN 'ZAP-DEP' END AS exo FROM parts WHERE p_size BETWEEN 21 AND 34)""",
 )
 _RESULT_SQL = "SELECT {columns}, round(e.SHAP, 6) AS cpg_effect, e.predicted_prob FROM r LEFT JOIN effects e USING (EnsemblID)"
 _SHARED = "Gene, EnsemblID, Category"
@@ -275,7 +285,7 @@ _SHEET_SQL = """SELECT CASE WHEN p_size = {low} THEN NULL WHEN p_size = {low} +
 
 
 @query("cohort_knockout", with_sql(*_EXPERIMENT_SQL,
-    f"sheets AS (({_SHEET_SQL.format(low=26, high=32, name='no guide')}) UNION ALL SELECT * FROM ({_SHEET_SQL.format(low=33, high=40, name='KO')}) WHERE EnsemblID IS NOT NULL AND EnsemblID <> 'NA')",
+    f"sheets AS (({_SHEET_SQL.format(low=35, high=42, name='no guide')}) UNION ALL SELECT * FROM ({_SHEET_SQL.format(low=43, high=50, name='KO')}) WHERE EnsemblID IS NOT NULL AND EnsemblID <> 'NA')",
     """r AS (SELECT s.EnsemblID, Treatment, Category, coalesce(Category, 'NA') || ' (' || Treatment || ')' AS Label, p.Gene FROM sheets s LEFT JOIN parts p USING (EnsemblID)
         UNION ALL SELECT EnsemblID, NULL, 'Holdout Random', 'Holdout Random', Gene FROM random_)""",
     body=_RESULT_SQL.format(columns="EnsemblID, Treatment, Category, Label, Gene")))
@@ -284,7 +294,7 @@ def cohort_knockout(data):
     return rounded(perturbation.knockout(x["control"], x["knocked"], x["random"], x["names"], x["effects"], x["scores"]), "cpg_effect")
 
 
-@query("cohort_exogenous", with_sql(*_EXPERIMENT_SQL, """r AS (SELECT Gene, EnsemblID, CASE p_size % 4 WHEN 0 THEN 'TOP50 UP' WHEN 1 THEN 'Random50' WHEN 2 THEN 'TOP50 DOWN' END AS Category FROM parts WHERE p_size > 40
+@query("cohort_exogenous", with_sql(*_EXPERIMENT_SQL, """r AS (SELECT Gene, EnsemblID, CASE p_size % 4 WHEN 0 THEN 'TOP50 UP' WHEN 1 THEN 'Random50' WHEN 2 THEN 'TOP50 DOWN' END AS Category FROM parts WHERE p_size > 20
     UNION ALL SELECT Gene, EnsemblID, 'Holdout Random' FROM random_)""", body=_RESULT_SQL.format(columns=_SHARED)))
 def cohort_exogenous(data):
     x = _experiment(data)

@@ -83,7 +83,7 @@ def feature_distribution(data):
     return rounded(report.feature_distribution(rows, _RAW), *BOX_COLUMNS)
 
 
-_GRID = 24
+_GRID = 512
 
 
 @query(
@@ -229,10 +229,10 @@ def group_broadcast(data):
 @query("top_flag_by_class", with_sql(METADATA_SQL, LABELLED_SQL, """
     ranked AS (SELECT HOST, Gene, ExpressionCategory, rank() OVER (PARTITION BY ExpressionCategory ORDER BY Log2FC NULLS LAST) AS GeneRank FROM labelled)""",
     body="""SELECT HOST, Gene, ExpressionCategory, GeneRank, CASE ExpressionCategory
-      WHEN 'Stimulated' THEN GeneRank >= max(GeneRank) OVER (PARTITION BY ExpressionCategory) - 20
-      WHEN 'Repressed' THEN GeneRank <= 20 WHEN 'NonDE' THEN false END AS Top50 FROM ranked"""))
+      WHEN 'Stimulated' THEN GeneRank >= max(GeneRank) OVER (PARTITION BY ExpressionCategory) - 50
+      WHEN 'Repressed' THEN GeneRank <= 50 WHEN 'NonDE' THEN false END AS Top50 FROM ranked"""))
 def top_flag_by_class(data):
-    return attribution.top_flag(labelled_entities(data).select("HOST", "Gene", "ExpressionCategory", "Log2FC"), top=20).drop("Log2FC")
+    return attribution.top_flag(labelled_entities(data).select("HOST", "Gene", "ExpressionCategory", "Log2FC"), top=50).drop("Log2FC")
 
 
 # ---- held-out accuracy ------------------------------------------------------------------------
@@ -322,7 +322,7 @@ def sliding_accuracy(data):
 
 _FOLD_ROWS_SQL = """label_rows AS (SELECT doc_id AS rowIndex, CASE WHEN quality = 0 THEN 'Repressed' WHEN toxic = 1 THEN 'Stimulated' ELSE 'NonDE' END AS obs FROM labels),
   folded AS (SELECT rowIndex, obs, rep::INT AS Rep, CAST((row_number() OVER (PARTITION BY rep, obs
-      ORDER BY md5(concat_ws('-', rowIndex, rep, '1'))) - 1) % 5 + 1 AS INT) AS Fold FROM label_rows, range(1, 4) AS r(rep))"""
+      ORDER BY md5(concat_ws('-', rowIndex, rep, '1'))) - 1) % 5 + 1 AS INT) AS Fold FROM label_rows, range(1, 51) AS r(rep))"""
 
 
 def _fold_rows(data):
@@ -332,7 +332,7 @@ def _fold_rows(data):
 
 @query("repeated_kfold", with_sql(_FOLD_ROWS_SQL, body="SELECT * FROM folded"))
 def repeated_kfold(data):
-    return resampling.repeated_folds(_fold_rows(data), repeats=3)
+    return resampling.repeated_folds(_fold_rows(data), repeats=50)
 
 
 @query("downsample_train", with_sql(_FOLD_ROWS_SQL,
@@ -341,5 +341,5 @@ def repeated_kfold(data):
     "placed AS (SELECT *, row_number() OVER (PARTITION BY Rep, Fold, obs ORDER BY md5(concat_ws('-', rowIndex, Rep, Fold, 'down1'))) AS p FROM training)",
     body="SELECT rowIndex, obs, Rep, Fold FROM placed JOIN sizes USING (Rep, Fold) WHERE p <= keep"))
 def downsample_train(data):
-    folds = resampling.repeated_folds(_fold_rows(data), repeats=3)
+    folds = resampling.repeated_folds(_fold_rows(data), repeats=50)
     return resampling.downsample(resampling.training_rows(folds))

@@ -344,17 +344,19 @@ def merge_full_outer(data):
     return rounded_ratios(merged, *merged.columns[2:])
 
 
+# The kinds of event.
+EVENT_TYPES = ("view", "click", "purchase", "signup", "error")
+
+
 @query(
     "merge_null_safe",
     """WITH e AS (SELECT CASE WHEN value > 100 THEN NULL ELSE user_id END AS k, event_type FROM events),
-       a AS (SELECT k, count(*) AS n_click FROM e WHERE event_type = 'click' GROUP BY k),
-       b AS (SELECT k, count(*) AS n_view FROM e WHERE event_type = 'view' GROUP BY k)
-       SELECT coalesce(a.k, b.k) AS k, n_click, n_view FROM a FULL JOIN b ON coalesce(a.k, -1) = coalesce(b.k, -1)""",
+       SELECT k, {counts} FROM e GROUP BY k""".replace("{counts}", ", ".join(f"nullif(count(*) FILTER (event_type = '{x}'), 0) AS n_{x}" for x in EVENT_TYPES)),
 )
 def merge_null_safe(data):
     events = data.table("events").select(F.when(F.col("value") <= 100, F.col("user_id")).alias("k"), "event_type")
     count = lambda kind: events.where(F.col("event_type") == kind).groupBy("k").agg(F.count("*").alias(f"n_{kind}"))
-    return merging.merge_outer([count("click"), count("view")], ["k"], null_safe=True)
+    return merging.merge_outer([count(kind) for kind in EVENT_TYPES], ["k"], null_safe=True)
 
 
 @query(

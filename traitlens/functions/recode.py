@@ -61,15 +61,17 @@ def unmapped(df: DataFrame, mappings: dict[str, dict[str, str]]) -> DataFrame:
 def recode_strict(df: DataFrame, mappings: dict[str, dict[str, str]]) -> DataFrame:
     """Recode, and fail while the job runs if a value is outside its vocabulary.
 
-    The check rides on the projection itself (``raise_error``), so it costs no
-    second pass; use :func:`unmapped` for a report instead of a failure.
+    The check is a filter on the rows, so it runs whichever columns are read
+    later, in the same pass; use :func:`unmapped` for a report instead of a
+    failure.
     """
-    checked = {}
+    checked, mapped = {}, F.lit(True)
     for name, mapping in mappings.items():
         value = lookup(F.col(name), mapping)
         message = F.concat(F.lit(f"{name} has no mapping for "), F.coalesce(F.col(name), F.lit("NULL")))
-        checked[name] = F.coalesce(value, F.raise_error(message).cast("string"))
-    return df.withColumns(checked)
+        mapped = mapped & F.when(value.isNotNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+        checked[name] = value
+    return df.where(mapped).withColumns(checked)
 
 
 def ordinal(value: Column, levels: Sequence[str]) -> Column:

@@ -72,12 +72,14 @@ def importance_by_host(contributions: DataFrame, data: DataFrame, collapsed: boo
     table = table.withColumn("__share", share)
     table = settle(table.withColumn("FeatureClass", feature_class(F.col("Feature"))))
     total = table.agg(F.sum("__share")).scalar()
-    ranks = table.select("Feature", "OverallMeanSHAP").distinct().withColumn("Rank", _small_rank("OverallMeanSHAP")).drop("OverallMeanSHAP")
+    # One ranking per label: a table of several labels keeps one row per host, feature and label.
+    within = W.partitionBy("Label").orderBy(F.col("OverallMeanSHAP").desc_nulls_last())
+    ranks = table.select("Feature", "Label", "OverallMeanSHAP").distinct().select("Feature", "Label", F.rank().over(within).cast("long").alias("Rank"))
     return (
         table.withColumn("HostContribution", F.try_divide(F.col("__share"), total))
         .withColumn("IsCpG", F.col("FeatureClass") == "CpG")
         .drop("__share")
-        .join(ranks, "Feature", "left")
+        .join(ranks, ["Feature", "Label"], "left")
     )
 
 
@@ -163,7 +165,8 @@ def spearman_with(data: DataFrame, features: Sequence[str], reference: str) -> D
     wide = data.select(*[col(f) for f in features], col(reference).alias("__ref"))
     wide = settle(wide)  # the few columns in play, read by every pass of both rankings
     long = to_long(wide, ["__ref"], features).where(F.col("Value").isNotNull() & F.col("__ref").isNotNull())
-    ranked = rank_within(long, ["Feature"], F.col("Value"), rank=None, average="__x")
+    # Settled in between: the second ranking reads its input several times.
+    ranked = settle(rank_within(long, ["Feature"], F.col("Value"), rank=None, average="__x").drop("Value"))
     ranked = rank_within(ranked, ["Feature"], F.col("__ref"), rank=None, average="__y")
     return ranked.groupBy("Feature").agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("Correlation"))
 

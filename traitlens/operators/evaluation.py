@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from traitlens.functions.names import col
 from traitlens.operators.merging import enrich
-from traitlens.operators.ordering import rank_within, sliding_mean
+from traitlens.operators.ordering import exact_quantiles, rank_within, sliding_mean
 from traitlens.operators.reshape import resample_parts
 from traitlens.sources.store import join_small, settle
 
@@ -59,13 +59,8 @@ def accuracy_mean_resample(preds: DataFrame) -> DataFrame:
 
 
 def flag_outliers(df: DataFrame, value: str = "Accuracy") -> DataFrame:
-    """Tukey flags against the quartiles of the whole table.
-
-    An accuracy is a ratio of small counts and takes few distinct values, so the
-    table is first reduced to value counts; the quartiles come from those.
-    """
-    counts = df.groupBy(col(value)).agg(F.count("*").alias("n"))
-    quartiles = counts.agg(F.percentile(value, [0.25, 0.75], F.col("n")).alias("q"))
+    """Tukey flags against the quartiles of the whole table, found by value ranges."""
+    quartiles = settle(exact_quantiles(df.select(col(value)), [], value, [0.25, 0.75])).select("q")
     q1, q3 = F.col("q")[0], F.col("q")[1]
     high = quartiles.select(q3 + 1.5 * (q3 - q1)).scalar()
     low = quartiles.select(q1 - 1.5 * (q3 - q1)).scalar()

@@ -30,9 +30,7 @@ CODING_MAP = (
     "".join(BASES[i % 4] for i in range(len(_CONSONANTS))) * 2,
 )
 
-# A text shorter than this has no coding part, a longer one may lack codon data.
-CODING_MIN_CHARS = 300
-CODON_MIN_CHARS = 600
+PAGE_HOST = '<html lang="([a-z]+)"'
 
 SHAP_FEATURES = {
     "CpG_Coding": "(avg(l_quantity) - 25.5) / 10.0071913",
@@ -89,32 +87,38 @@ class SampleData:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _texts(self) -> DataFrame:
-        """Documents, spread over the cores when the file gives too few splits."""
-        docs = self.table("documents").select("doc_id", "lang", "n_chars", "text")
+    def _texts(self, source: str) -> DataFrame:
+        """(number, host, text) of documents or pages, spread over the cores when the file gives too few splits.
+
+        A page's host is the language its markup names, so only some pages share host and number with a document.
+        """
+        if source == "documents":
+            texts = self.table("documents").select(F.col("doc_id").alias("number"), F.col("lang").alias("host"), "text")
+        else:
+            texts = self.table("pages").select(F.col("page_id").alias("number"), F.regexp_extract("html", PAGE_HOST, 1).alias("host"), F.col("html").alias("text"))
         cores = self.spark.sparkContext.defaultParallelism
-        return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+        return texts.repartition(cores, "number") if texts.rdd.getNumPartitions() < cores else texts
 
     @staticmethod
     def _gene(number: str) -> Column:
         return F.concat(F.lit("G"), F.lpad(F.col(number).cast("string"), 8, "0")).alias("Gene")
 
-    def _sequences(self, mapping: tuple[str, str], min_chars: int) -> DataFrame:
+    def _sequences(self, mapping: tuple[str, str], source: str) -> DataFrame:
         letters = F.translate("text", *mapping)
         sequence = F.regexp_replace(letters, "[^ATGC]", "").alias("s")
-        return self._texts().where(F.col("n_chars") >= min_chars).select(F.col("lang").alias("HOST"), self._gene("doc_id"), sequence)
+        return self._texts(source).select(F.col("host").alias("HOST"), self._gene("number"), sequence)
 
     def part1_gene(self) -> DataFrame:
-        df = self._sequences(ALPHABET_MAP, 0)
+        df = self._sequences(ALPHABET_MAP, "documents")
         return df.select("HOST", "Gene", *[c.alias(n) for n, c in part_one(F.col("s")).items()])
 
     def part1_coding(self) -> DataFrame:
-        df = self._sequences(CODING_MAP, CODING_MIN_CHARS)
+        df = self._sequences(CODING_MAP, "documents")
         return df.select("HOST", "Gene", *[c.alias(n) for n, c in part_one(F.col("s")).items()])
 
     def part2_coding(self) -> DataFrame:
-        """As landed: SeqName holds gene and transcript."""
-        df = self._sequences(CODING_MAP, CODON_MIN_CHARS)
+        """As landed, from pages: SeqName holds gene and transcript."""
+        df = self._sequences(CODING_MAP, "pages")
         df = df.withColumn("t", F.regexp_replace("s", "(...)", "$1,"))
         name = F.concat(F.lit(">"), F.col("Gene"), F.lit("|T"), F.substring("Gene", 2, 8)).alias("SeqName")
         return df.select("HOST", name, *[c.alias(n) for n, c in part_two(F.col("t")).items()])
@@ -227,11 +231,11 @@ def part_two_sql(t: str) -> dict[str, str]:
     return out
 
 
-def _sequence_sql(mapping: tuple[str, str], min_chars: int) -> str:
+def _sequence_sql(mapping: tuple[str, str], source: str) -> str:
+    number, host, text = {"documents": ("doc_id", "lang", "text"), "pages": ("page_id", f"regexp_extract(html, '{PAGE_HOST}', 1)", "html")}[source]
     return (
-        "SELECT lang AS HOST, 'G' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS Gene, "
-        f"regexp_replace(translate(text, '{mapping[0]}', '{mapping[1]}'), '[^ATGC]', '', 'g') AS s "
-        f"FROM documents WHERE n_chars >= {min_chars}"
+        f"SELECT {host} AS HOST, 'G' || lpad(CAST({number} AS VARCHAR), 8, '0') AS Gene, "
+        f"regexp_replace(translate({text}, '{mapping[0]}', '{mapping[1]}'), '[^ATGC]', '', 'g') AS s FROM {source}"
     )
 
 
@@ -239,10 +243,10 @@ def sql_columns(columns: dict[str, str], suffix: str = "") -> str:
     return ", ".join(f'{e} AS "{n}{suffix}"' for n, e in columns.items())
 
 
-GENE_SQL = f"gene_seq AS ({_sequence_sql(ALPHABET_MAP, 0)})"
-CODING_SQL = f"coding_seq AS ({_sequence_sql(CODING_MAP, CODING_MIN_CHARS)})"
+GENE_SQL = f"gene_seq AS ({_sequence_sql(ALPHABET_MAP, "documents")})"
+CODING_SQL = f"coding_seq AS ({_sequence_sql(CODING_MAP, "documents")})"
 CODON_SQL = (
-    f"codon_raw AS ({_sequence_sql(CODING_MAP, CODON_MIN_CHARS)}), "
+    f"codon_raw AS ({_sequence_sql(CODING_MAP, "pages")}), "
     "codon_seq AS (SELECT HOST, Gene, regexp_replace(s, '(...)', '\\1,', 'g') AS t FROM codon_raw)"
 )
 METADATA_SQL = """
