@@ -256,7 +256,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Numbers are fixed once the table is written.
     classes = settle(grouped.withColumn("cid", F.monotonically_increasing_id()))
     pairs = settle(compare_units(candidate_units(classes), threshold))
-    needed = settle(pairs.select(F.explode(F.concat("left_ids", "right_ids")).alias("cid")).distinct().join(classes.select("cid", "key", "first_id", "copies"), "cid"))
+    needed = settle(pairs.select(F.explode(F.array_distinct(F.concat("left_ids", "right_ids"))).alias("cid")).distinct().join(classes.select("cid", "key", "first_id", "copies"), "cid"))
     texts = _texts_of(docs.select(F.col(id_col).alias("first_id"), text_or_empty(text_col).alias("text")), needed)
     verified = settle(verify_units(pairs, texts, threshold))
     parts = components(verified.select(F.col("cid").alias("a"), F.col("root").alias("b")))
