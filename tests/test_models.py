@@ -203,3 +203,14 @@ def test_search_holds_rows_out_once_per_repeat(spark, table, tmp_path):
 def test_candidates_repeat_with_the_seed():
     a, b = boosting.random_candidates(5, seed=3), boosting.random_candidates(5, seed=3)
     assert a == b and a != boosting.random_candidates(5, seed=4) and len(boosting.random_candidates()) == 100
+
+
+def test_scoring_walks_the_node_table_like_the_sql_tree(table):
+    """Deep and many trees: the Arrow pass gives the SQL expression's margins, NULL features included."""
+    df = table
+    model = boosting.fit_dart(df, FEATURES, "obs", LEVELS, BoostParams(rounds=6, max_depth=5, max_bins=16))
+    both = model.score(df).withColumn("by_sql", model.margin()).select((F.col("margin")[0] - F.col("by_sql")).alias("gap"))
+    assert both.agg(F.max(F.abs("gap"))).first()[0] < 1e-12
+    many = boosting.Ensemble(model.features, model.levels, model.trees * 100)
+    tenfold = many.score(df).select((F.col("margin")[0] - F.lit(100.0) * F.lit(1.0) * model.margin()).alias("gap"))
+    assert tenfold.agg(F.max(F.abs("gap"))).first()[0] < 1e-9

@@ -4,17 +4,20 @@ Each round turns the current margins into gradients and hessians as columns and
 fits one MLlib ``DecisionTreeRegressor`` on -g/h with weight h: the Newton step
 of the logistic (or softmax) loss.  MLlib keeps the sums of h and of g in every
 node, so regularised leaf values, gain pruning and node covers need no further
-job.  Missing values are routed by encoding (see :func:`route_missing`), and a
-fitted tree is scored as a SQL CASE expression on the raw columns.
+job.  Missing values are routed by encoding (see :func:`route_missing`).  While
+training, a new tree is a SQL expression on the raw columns; a finished model is
+scored from one broadcast node table in an Arrow pass.
 """
 
 from __future__ import annotations
 
 import json
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,10 +106,55 @@ class Ensemble:
             return F.lit(0.0)
         return F.expr(f"aggregate(array({', '.join(terms)}), 0D, (s, v) -> s + v)")
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """All trees as one node table: a node's feature is -1 at a leaf, its children are places in the table."""
+        place = {f: i for i, f in enumerate(self.features)}
+        rows, roots = [], []
+        for tree in self.trees:
+            base = len(rows)
+            roots.append(base)
+            for n in tree.nodes:
+                leaf = n.feature is None
+                rows.append((-1 if leaf else place[n.feature], n.threshold or 0.0, bool(n.missing_left), base + (n.left or 0), base + (n.right or 0), n.value))
+        names = ("feature", "threshold", "missing_left", "left", "right", "value")
+        columns = dict(zip(names, zip(*rows))) if rows else {n: () for n in names}
+        kinds = (np.int32, float, bool, np.int32, np.int32, float)
+        table = {n: np.asarray(columns[n], k) for n, k in zip(names, kinds)}
+        return table | {"root": np.asarray(roots, np.int32), "klass": np.asarray([t.klass for t in self.trees], int), "weight": np.asarray([t.weight for t in self.trees], float)}
+
+    def margins(self, spark: SparkSession) -> Column:
+        """Weighted sums of the trees of each class, in one Arrow pass over the features.
+
+        The node table is broadcast and walked level by level for all rows of a
+        batch, so the cost of a tree is its depth, however many trees there are.
+        """
+        shared, outputs, used = spark.sparkContext.broadcast(self.arrays()), self.outputs, self.features
+
+        @F.pandas_udf("array<double>")
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            t = shared.value
+            for batch in batches:
+                x = batch.to_numpy(dtype=float, na_value=np.nan)
+                rows, sums = np.arange(len(x)), np.zeros((len(x), outputs))
+                for root, klass, weight in zip(t["root"], t["klass"], t["weight"]):
+                    at = np.full(len(x), root)
+                    while True:
+                        feature = t["feature"][at]
+                        inner = feature >= 0
+                        if not inner.any():
+                            break
+                        value = x[rows, np.maximum(feature, 0)]
+                        goes_left = np.where(np.isnan(value), t["missing_left"][at], value <= t["threshold"][at])
+                        at = np.where(inner, np.where(goes_left, t["left"][at], t["right"][at]), at)
+                    sums[:, klass] += weight * t["value"][at]
+                yield pd.Series(list(sums))
+
+        return walk(F.struct(*[col(f).cast("double").alias(f"f{i}") for i, f in enumerate(used)]))
+
     def score(self, df: DataFrame, margin: str = "margin", probability: str = "probability", label: str = "PredictedLabel") -> DataFrame:
         """Add margins, class probabilities (arrays in level order) and the likeliest level."""
         self._require(df)
-        df = df.withColumn(margin, F.array(*[self.margin(k) for k in range(self.outputs)]))
+        df = df.withColumn(margin, self.margins(df.sparkSession))
         levels = F.array(*[F.lit(v) for v in self.levels])
         if self.outputs == 1:
             p = 1 / (1 + F.exp(-F.col(margin)[0]))

@@ -104,12 +104,14 @@ def shap_contributions(df: DataFrame, ensemble: Ensemble, row_id: str = "rowInde
     position = {f: i for i, f in enumerate(used)}
     per_class = [[p for t in ensemble.trees if t.klass == k for p in leaf_paths(t)] for k in range(ensemble.outputs)]
     labels = ensemble.levels[: ensemble.outputs]
+    # The paths grow with trees and leaves, so they travel once per executor, not with every task.
+    shared = df.sparkSession.sparkContext.broadcast(per_class)
     id_type = df.select(col(row_id)).schema[0].dataType.simpleString()
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             columns = {f: batch[f].to_numpy(dtype=float, na_value=np.nan) for f in used}
-            for label, paths in zip(labels, per_class):
+            for label, paths in zip(labels, shared.value):
                 phi = batch_contributions(paths, columns, position, len(batch))
                 yield pd.DataFrame({"RowID": batch["RowID"], "Label": label, "phi": list(phi)})
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitlens.functions.names import col
+from traitlens.session import let_workers_import
 
 LETTERS = string.ascii_lowercase
 BASES = "ATGC"
@@ -81,6 +82,7 @@ class SampleData:
     """Frames over one folder of sample tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        let_workers_import(spark)
         self.spark = spark
         self.folder = folder.rstrip("/")
 

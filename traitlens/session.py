@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,16 @@ PORTABLE_CONF = {
 }
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put this checkout on the import path of Python workers.
+
+    Enough where executors see the same folders; elsewhere the package travels with ``--py-files``.
+    """
+    root, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def local_session(cpus: int | None = None, app: str = "traitlens") -> SparkSession:
     """A local session for tests and the bench."""
     cpus = cpus or min(8, os.cpu_count() or 2)

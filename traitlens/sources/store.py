@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from weakref import WeakKeyDictionary
 
@@ -17,26 +20,49 @@ from traitlens.functions.names import col
 BROADCAST_ROWS = 200_000
 
 _LOCAL_ROOT: dict[str, str] = {}
+# Paths settled inside each open ``settled_scope``, innermost last.
+_SCOPES: list[list[str]] = []
 _FITS: WeakKeyDictionary[DataFrame, tuple[int, bool]] = WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder for cut lineage: the session's ``spark.checkpoint.dir``.
 
-    Only a local master gets a folder of our own when the setting is absent; on
-    a cluster a machine-local folder would be lost with its executor.
+    Only a master of one process gets a folder of our own when the setting is
+    absent, removed when Python ends; anywhere else a machine-local folder would
+    be lost with its executor.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOT:
         _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="traitlens-")
+        atexit.register(shutil.rmtree, _LOCAL_ROOT[app], ignore_errors=True)
     return _LOCAL_ROOT[app]
 
 
+@contextmanager
+def settled_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables settled inside the block when it ends.
+
+    For callers that have read or written their result by then: frames built
+    inside the block must not be used after it.
+    """
+    opened: list[str] = []
+    _SCOPES.append(opened)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(opened)
+        for path in opened:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
@@ -47,6 +73,8 @@ def settle(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     writer = df.write
     if partition_by:
         writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
