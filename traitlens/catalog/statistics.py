@@ -75,17 +75,45 @@ def _raw_sql(feature: str, source: str, expression: str) -> str:
 )
 def feature_distribution(data):
     """Three raw features by class, pooled and by host, from one long table."""
+    return rounded(report.feature_distribution(_raw_rows(data), _RAW), *BOX_COLUMNS)
+
+
+def _raw_rows(data):
     gene = data.part1_gene().select("HOST", "Gene", F.col("CpG").alias("CpG_EntireGene"))
     codon = data.part2_coding()
     gene_id = F.regexp_extract("SeqName", ">(.*)\\|", 1).alias("Gene")
     codon = codon.select("HOST", gene_id, col("S-Bias").alias("S-Bias_Coding"), col("TGC-Bias").alias("TGC-Bias_Coding"))
-    rows = labelled_entities(data).drop("n_chars").join(gene, ["HOST", "Gene"], "left").join(codon, ["HOST", "Gene"], "left")
-    return rounded(report.feature_distribution(rows, _RAW), *BOX_COLUMNS)
+    return labelled_entities(data).drop("n_chars").join(gene, ["HOST", "Gene"], "left").join(codon, ["HOST", "Gene"], "left")
 
 
 _GRID = 512
 
 
+@query(
+    "feature_density",
+    with_sql(
+        GENE_SQL, CODON_SQL, METADATA_SQL, LABELLED_SQL,
+        f"raw AS ({_raw_sql(_RAW[0], 'gene_seq', P1['CpG'])} UNION ALL {_raw_sql(_RAW[1], 'codon_seq', P2['S-Bias'])} UNION ALL {_raw_sql(_RAW[2], 'codon_seq', P2['TGC-Bias'])})",
+        f"""x AS (SELECT Panel, Feature, ExpressionCategory, v AS x FROM raw WHERE v IS NOT NULL),
+        s AS (SELECT Panel, Feature, ExpressionCategory, count(*) AS n, min(x) AS lo, (max(x) - min(x)) / {_GRID - 1} AS step,
+                0.9::DOUBLE * coalesce(nullif(least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34::DOUBLE), 0), nullif(stddev_samp(x), 0), 1.0) * power(count(*), -0.2::DOUBLE) AS bw
+              FROM x GROUP BY ALL),
+        p AS (SELECT x.Panel, x.Feature, x.ExpressionCategory, coalesce((x - lo) / nullif(step, 0), 0) AS place FROM x JOIN s USING (Panel, Feature, ExpressionCategory)),
+        l AS (SELECT Panel, Feature, ExpressionCategory, place, least(floor(place), {_GRID - 1}) AS i FROM p),
+        b AS (SELECT Panel, Feature, ExpressionCategory, i, sum(w) AS w FROM (
+                SELECT Panel, Feature, ExpressionCategory, i, 1 - (place - i) AS w FROM l UNION ALL
+                SELECT Panel, Feature, ExpressionCategory, least(i + 1, {_GRID - 1}), place - i FROM l) GROUP BY ALL)""",
+        body=f"""SELECT Panel, Feature, ExpressionCategory, CAST(g AS BIGINT) AS GridIndex, round(min(lo) + g * min(step), 5) AS x,
+                  round(sum(w * exp(-0.5::DOUBLE * pow((g - i) * step / bw, 2))) / (min(n) * min(bw) * sqrt(2 * pi())), 5) AS Density
+                FROM b JOIN s USING (Panel, Feature, ExpressionCategory), range(0, {_GRID}) AS r(g) GROUP BY Panel, Feature, ExpressionCategory, g""",
+    ),
+)
+def feature_density(data):
+    """The same features' densities on the whole grid."""
+    out = report.feature_density(_raw_rows(data), _RAW, grid=_GRID)
+    return out.withColumns({c: F.round(c, 5) for c in ("x", "Density")})
+
+
 @query(
     "density_by_class",
     with_sql(
