@@ -75,16 +75,22 @@ def pair_distance_boxes(
     empty = sizes.where(F.col("__next") > F.col("__below") + 1)
     empty = empty.select(*part_cols, F.explode(F.sequence(F.col("__below") + 1, F.col("__next") - 1)).alias("__below"), F.col("__end").alias("__start"))
     starts = settle(own.unionByName(empty))
+    ends = settle(placed.groupBy(*part_cols).agg(F.max("__x").alias("__top"), F.sum("__w").alias("__all")))
     inside = W.partitionBy(*part_cols, "__below").orderBy("__y", "__probe").rowsBetween(W.unboundedPreceding, W.currentRow)
     held = placed.select(*part_cols, "__below", F.col("__x").alias("__y"), "__w", F.lit(0).alias("__probe"))
 
     def reach(cut_table: DataFrame) -> DataFrame:
         """Per group and cut t: sum over values of weight times the weight at or below value + t."""
-        probes = ranged(join_small(values, cut_table, keys).withColumn("__y", F.col("__x") + F.col("__t")), "__y")
-        asked = probes.select(*part_cols, "__below", "__y", F.lit(0).alias("__w"), F.lit(1).alias("__probe"), "__t", (F.col("__sign") * F.col("__w")).alias("__signed"))
+        moved = join_small(values, cut_table, keys).withColumns({"__y": F.col("__x") + F.col("__t"), "__signed": F.col("__sign") * F.col("__w")})
+        moved = join_small(moved, ends, parts)
+        # A probe past the largest value reaches all of its part: no range has to hold them.
+        past = moved.where(F.col("__y") >= F.col("__top")).select(*group_cols, "__t", (F.col("__signed") * F.col("__all")).alias("__part"))
+        probes = ranged(moved.where(F.col("__y") < F.col("__top")), "__y")
+        asked = probes.select(*part_cols, "__below", "__y", F.lit(0).alias("__w"), F.lit(1).alias("__probe"), "__t", "__signed")
         upto = held.unionByName(asked, allowMissingColumns=True).withColumn("__upto", F.sum("__w").over(inside)).where(F.col("__probe") == 1)
         placed_probes = join_small(upto, starts, [*parts, "__below"])
-        return placed_probes.groupBy(*group_cols, "__t").agg(F.sum(F.col("__signed") * (F.col("__upto") + F.col("__start"))).alias("__reach"))
+        within = placed_probes.select(*group_cols, "__t", (F.col("__signed") * (F.col("__upto") + F.col("__start"))).alias("__part"))
+        return within.unionByName(past).groupBy(*group_cols, "__t").agg(F.sum("__part").alias("__reach"))
 
     # Pairs within t: reach(t) - reach(0) plus the pairs of equal values.
     extent = values.groupBy(*group_cols).agg(
