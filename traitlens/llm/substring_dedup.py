@@ -54,7 +54,10 @@ def stored_texts(rows: DataFrame) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text"))
     texts.write.bucketBy(buckets, "a", "b").option("path", new_folder(spark, "texts")).saveAsTable(name)
-    return spark.table(name)
+    stored = spark.table(name)
+    # The frame knows files and buckets by now; the name need not stay in the catalogue.
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
 def release(spark: SparkSession) -> None:
@@ -131,10 +134,11 @@ def seed_places(texts: DataFrame, length: int, window: int, survivors: DataFrame
 def repeated_places(seeds: DataFrame, again: DataFrame | None = None) -> DataFrame:
     """(a, b, places): for each text its seeds whose hash occurs at least twice.
 
-    Hashes are counted with map-side sums; the join back is an inner join that
-    adaptive execution can split where one hash has very many places.
+    Hashes are counted with map-side sums and the repeated ones settled, so both
+    sides of the join back are plain exchanges: adaptive execution can split the
+    places of one very common hash.
     """
-    repeated = seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    repeated = settle(seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     kept = (seeds if again is None else again).join(repeated, "h")
     return settle(kept.groupBy("a", "b").agg(F.collect_list("pos").alias("places")))
 
