@@ -34,7 +34,7 @@ from traitlens.llm.common import settle, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
-_CACHED_WORDS = 1_200_000
+_CACHED_WORDS = 500_000
 _JOINED = 1_000
 _BETWEEN = b"<|endoftext|>"
 _TEXTS = 500

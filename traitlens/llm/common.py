@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traitlens.session import let_workers_import
 from traitlens.sources.store import settle, shared_root
 
-__all__ = ["held_out", "let", "let_workers_import", "new_folder", "settle", "table", "text_or_empty", "whole_groups"]
+#: Bytes of one Arrow batch of texts.
+BATCH_BYTES = 4 << 20
 
+__all__ = ["held_out", "let", "let_workers_import", "new_folder", "settle", "table", "text_or_empty", "text_session", "whole_groups"]
 
-def let_workers_import(spark: SparkSession) -> None:
-    """Put this checkout on the import path of Python workers.
 
-    Enough where executors see the same folders; elsewhere the package travels with ``--py-files``.
+def text_session(spark: SparkSession) -> None:
+    """Settings for jobs that hand whole texts to Python: importable workers and Arrow batches bounded in bytes.
+
+    A batch is bounded in rows already, but ten thousand long texts would fill a worker.
     """
-    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+    let_workers_import(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

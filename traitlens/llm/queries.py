@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitlens.llm import bin_packing, jaccard_join, language_id, line_blocks, positional_index, quality_rules, secret_ledger, substring_dedup, token_transducer, toxicity
-from traitlens.llm.common import held_out, let_workers_import, new_folder, table
+from traitlens.llm.common import held_out, new_folder, table, text_session
 from traitlens.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 def query(name: str):
     def add(run: Callable[[SparkSession, str], DataFrame]):
         def ready(spark: SparkSession, folder: str) -> DataFrame:
-            let_workers_import(spark)
+            text_session(spark)
             return run(spark, folder)
 
         QUERIES[name] = ready
