@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitlens.llm import bin_packing, jaccard_join, language_id, positional_index, secret_ledger
-from traitlens.llm.common import let_workers_import, new_folder, settle, table
+from traitlens.llm.common import new_folder, settle, table, text_session
 from traitlens.llm.queries import tokenizer_path
 from traitlens.sources.store import join_small
 
@@ -21,14 +21,14 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts without a letter go."""
-    let_workers_import(spark)
+    text_session(spark)
     model = language_id.train(docs.select("doc_id", "text", "lang"))
     return language_id.accepted(docs, model, LEAST_LANGUAGE_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of similar ones; of repeated rows one stays."""
-    let_workers_import(spark)
+    text_session(spark)
     found = settle(jaccard_join.similar_documents(docs))
     dropped = settle(found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct())
     repeated = settle(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark's passages: under 5 % of their words stand in matching windows."""
-    let_workers_import(spark)
+    text_session(spark)
     found = positional_index.contamination(docs, table(spark, sf_dir, "benchmark"))
     bad = settle(found.where("n_hit > 0 and 20 * n_hit >= n_words").select("doc_id").distinct())
     return join_small(docs, bad, ["doc_id"], "left_anti")
@@ -59,7 +59,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and offset."""
-    let_workers_import(spark)
+    text_session(spark)
     return bin_packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
