@@ -90,6 +90,26 @@ def test_main_text(body, text):
     assert line_blocks.main_text(PAGE.format(body) if body else "") == text
 
 
+_LONG = ("a sentence of the story that runs on for a while " * 3).strip()
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        # An aside inside the text does not cut off a title or a closing line.
+        (f"<div><h1>Title</h1><div class='ad'>buy</div><p>{_LONG}</p><div class='share'><p>s</p><p>t</p><p>u</p><p>v</p></div><p>The end.</p></div>", f"Title\n{_LONG}\nThe end."),
+        # A teaser's article does not win over the longer main part around it.
+        (f"<main><h1>Title</h1><p>{_LONG}</p><article>See also</article></main>", f"Title\n{_LONG}\nSee also"),
+        # Short lines before the surge and link lists after the dive are no text.
+        (f"<div><p>Hi</p><p>Mon</p><p>Tue</p><p>Wed</p><p>{_LONG}</p><ul>{'<li><a>another page</a></li>' * 4}</ul><p>Made here.</p></div>", f"Tue\nWed\n{_LONG}"),
+        # A short marked box does not bound a page whose text stands elsewhere.
+        (f"<article>Box</article><h2>Title</h2><p>{_LONG}</p>", f"Box\nTitle\n{_LONG}"),
+    ],
+)
+def test_surges_and_dives_find_the_text(body, text):
+    assert line_blocks.main_text(PAGE.format(body)) == text
+
+
 def test_main_texts_edge_rows(spark_llm):
     rows = [(1, "u", None), (None, None, "<p>hello"), (2, "v", "x" * 200_000), (2, "v", "x" * 200_000), (3, "w", "<div><div><!-- no end <p>t")]
     df = spark_llm.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(9))

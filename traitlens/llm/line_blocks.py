@@ -7,8 +7,12 @@ count.  The text lengths of a few neighbouring lines are summed over a sliding
 window; where the sum surges from a low to a high value a text part begins, where
 it dives to zero the part ends, and the lines between the two are kept.
 
-Where a page marks its article or main part, lines outside count as empty.
-Several parts are kept when each of them surges; if none does, the longest one is.
+An aside between lines of text is one empty line, whatever its size, so it does not end
+the part around it.  Where article and main hold at least half of a page's text
+they bound it: lines outside count as empty.  Inside them link text counts too, and
+a part that surges there reaches back over all marked lines before the surge, elsewhere
+to the first heading since the last dive.  Several parts are kept when each of them
+surges; if none does, the longest one is.
 
 Defined results: a NULL, empty or text-free page gives an empty text; unclosed
 and stray tags are read as browsers do, a block tag ends the line; repeated pages
@@ -60,6 +64,7 @@ class _Line:
     links: int = 0
     inside: int = 0
     aside: bool = False
+    heading: bool = False
     text: str = ""
 
 
@@ -91,6 +96,7 @@ def page_lines(page: str) -> list[_Line]:
             line.aside = True
             return
         line.inside = max(line.inside, main)
+        line.heading = line.heading or any(s[0] in _HEADINGS for s in stack)
         line.parts.append(piece)
         if link:
             line.links += len(_SPACES.sub(" ", piece).strip())
@@ -141,24 +147,39 @@ def main_text(page: str | None, span: int = SPAN, surge: int = SURGE) -> str:
     if not page:
         return ""
     lines = page_lines(page)
-    marked = max((x.inside for x in lines), default=0)
-    counted = [x.inside >= marked and bool(x.text) for x in lines]
-    lengths = [max(0, len(x.text) - x.links) if c else 0 for x, c in zip(lines, counted)]
-    # The sums over windows that begin at each line; a part lasts while the lines have text.
+    size = lambda x: len(x.text) if x.inside else max(0, len(x.text) - x.links)
+    marked, total = sum(size(x) for x in lines if x.inside), sum(map(size, lines))
+    bounded = 0 < total <= 2 * marked
+    rows: list[_Line] = []
+    for x in lines:
+        if x.text and (x.inside or not bounded):
+            rows.append(x)
+        elif rows and rows[-1].text:
+            rows.append(_Line())
+    lengths = [size(x) for x in rows]
+    # The sums over windows that begin at each line; where they are zero nothing follows within a window.
     sums = [sum(lengths[k : k + span]) for k in range(len(lengths))]
-    parts, begin = [], None
-    for k in range(len(lengths) + 1):
-        alive = k < len(lengths) and (lengths[k] > 0 or (marked > 0 and counted[k]))
+    parts, low, begin = [], [], None
+    for k in range(len(sums) + 1):
+        alive = k < len(sums) and sums[k] > 0
         if alive and begin is None:
             begin = k
         elif not alive and begin is not None:
-            parts.append((begin, k))
+            rise = next((j for j in range(begin, k) if sums[j] >= surge), None)
+            if rise is None:
+                low.append((begin, k))
+            else:
+                start = next((j for j in range(begin, rise) if rows[j].heading or rows[j].inside), rise)
+                while not lengths[start] and not rows[start].heading:
+                    start += 1
+                parts.append((start, k))
             begin = None
-    if not parts:
-        return ""
-    peak = lambda part: max(sums[k] if k + span <= part[1] else sum(lengths[k : part[1]]) for k in range(*part))
-    kept = parts if marked else [p for p in parts if peak(p) >= surge] or [max(parts, key=lambda p: sum(lengths[p[0] : p[1]]))]
-    return "\n".join(lines[k].text for part in kept for k in range(*part))
+    if not parts and low:
+        start, end = max(low, key=lambda p: sum(lengths[p[0] : p[1]]))
+        while not lengths[start] and not rows[start].heading:
+            start += 1
+        parts = [(start, end)]
+    return "\n".join(rows[k].text for part in parts for k in range(*part) if rows[k].text)
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
