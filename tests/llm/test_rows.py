@@ -110,6 +110,26 @@ def test_surges_and_dives_find_the_text(body, text):
     assert line_blocks.main_text(PAGE.format(body)) == text
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        (f"<div class='content has-sidebar'><article><p>{_LONG}</p></article></div>", _LONG),
+        (f"<div id='tag-page'><div class='layout with-nav'><p>{_LONG}</p></div></div>", _LONG),
+        (f"<div class='legal'><p>{_LONG}</p><p>{_LONG}</p></div>", f"{_LONG}\n{_LONG}"),
+        (f"<form id='aspnetForm'><article><p>{_LONG}</p></article></form>", _LONG),
+        (f"<article><div class='entry-header'><h1>Title</h1></div><p>{_LONG}</p></article>", f"Title\n{_LONG}"),
+        (f"<article><div class='header'><h1>Title</h1></div><p>{_LONG}</p></article>", f"Title\n{_LONG}"),
+        (f"<article><p>{_LONG}</p><figure><pre>code()</pre><figcaption>Listing</figcaption></figure></article>", f"{_LONG}\ncode()\nListing"),
+        (f"<article><svg width='1'/><p>{_LONG}</p><canvas><p>after</p></article>", f"{_LONG}\nafter"),
+        # Still asides: named parts, cards of other articles, readers' articles.
+        (f"<article><p>{_LONG}</p></article><aside class='related'><article>card</article></aside><div class='comment-list'><article>{_LONG} {_LONG}</article></div>", _LONG),
+        (f"<p>{_LONG}</p><div class='site-footer'>us</div><div id='cookie-banner'>ok?</div><div class='ad-slot-3'>buy</div>", _LONG),
+    ],
+)
+def test_names_drop_only_asides(body, text):
+    assert line_blocks.main_text(PAGE.format(body)) == text
+
+
 def test_main_texts_edge_rows(spark_llm):
     rows = [(1, "u", None), (None, None, "<p>hello"), (2, "v", "x" * 200_000), (2, "v", "x" * 200_000), (3, "w", "<div><div><!-- no end <p>t")]
     df = spark_llm.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(9))
