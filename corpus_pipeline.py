@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes the documents its predecessor kept and returns documents with
-the same columns; the last returns the packed pieces.  Rows whose doc_id is NULL
-are judged like all others.
+the same columns; the last returns the packed pieces.  Verdicts on texts hold for
+rows, not ids: stages that drop rows after a shuffle number them first, so rows that
+share an id, or have none, are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -26,23 +27,33 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return language_id.accepted(docs, model, LEAST_LANGUAGE_SCORE)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a settled key of their own, ``__row``."""
+    return settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar ones; of repeated rows one stays."""
+    """The row with the smallest id of each group of similar ones, rows without id last; of repeated rows one stays."""
     text_session(spark)
-    found = settle(jaccard_join.similar_documents(docs))
-    dropped = settle(found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct())
-    repeated = settle(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    kept = join_small(docs, dropped, ["doc_id"], "left_anti")
-    once = join_small(kept, repeated, ["doc_id"], "left_anti")
-    return once.unionByName(join_small(kept, repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"]))
+    rows = numbered(docs)
+    found = settle(jaccard_join.similar_documents(rows, id_col="__row").where("n_links > 0").withColumnRenamed("doc_id", "__row"))
+    first = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
+    linked = rows.select("__row", "doc_id").join(found.select("__row", "class_id"), "__row")
+    winners = linked.groupBy("class_id").agg(first()).select("first.__row")
+    # Texts without a word are similar to nothing; rows equal in id and text are still repeats.
+    blank = rows.where(~F.coalesce("text", F.lit("")).rlike(r"[^ \t-\r]")).select("__row", "doc_id", F.sha2("text", 256).alias("text"))
+    originals = blank.groupBy("doc_id", "text").agg(F.min("__row").alias("__row")).select("__row")
+    dropped = settle(found.select("__row").join(winners, "__row", "left_anti").unionByName(blank.select("__row").join(originals, "__row", "left_anti")))
+    return join_small(rows, dropped, ["__row"], "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark's passages: under 5 % of their words stand in matching windows."""
     text_session(spark)
-    found = positional_index.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = settle(found.where("n_hit > 0 and 20 * n_hit >= n_words").select("doc_id").distinct())
-    return join_small(docs, bad, ["doc_id"], "left_anti")
+    rows = numbered(docs)
+    found = positional_index.contamination(rows, table(spark, sf_dir, "benchmark"), doc_id="__row")
+    bad = settle(found.where("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("doc_id").alias("__row")))
+    return join_small(rows, bad, ["__row"], "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,5 +79,36 @@ def test_repeated_rows_and_missing_ids(spark_llm, docs):
         assert stage(spark_llm, none, SMALL).count() == 0
 
 
+def test_verdicts_hold_for_rows_not_ids(spark_llm, docs):
+    texts = [r["text"] for r in docs.where("length(text) > 400").orderBy("doc_id").limit(60).collect()]
+    item = spark_llm.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 200").orderBy("item_id").first()["text"]
+    base = texts[:8]
+    # Near copies and benchmark texts under NULL and shared ids, among unrelated texts with the same ids.
+    rows = [(None if k % 2 else 7, t) for k, t in enumerate(texts)]
+    rows += [(i, t + " one more word") for t in base for i in (None, 7, 3)] + [(None, item), (7, item + " end")]
+    rows += [(None, " "), (None, " "), (7, " "), (7, None), (7, None)]
+    odd = spark_llm.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "length(text) as n_chars")
+
+    # Against brute force: groups by row numbers, of each the smallest id with NULL last.
+    worded = [r for r in rows if brute.shingles(r[1])]
+    groups = {}
+    for k, (group, _) in enumerate(brute.links([(k, t) for k, (_, t) in enumerate(worded)])):
+        groups.setdefault(group, []).append(worded[k][0])
+    smallest = Counter(min(ids, key=lambda i: (i is None, i or 0)) for ids in groups.values())
+    now = settle(corpus_pipeline.drop_near_duplicates(spark_llm, odd, SMALL))
+    kept = [(r["doc_id"], r["text"]) for r in now.collect()]
+    assert Counter(d for d, t in kept if brute.shingles(t)) == smallest
+    assert Counter(r for r in kept if not brute.shingles(r[1])) == Counter([(None, " "), (7, " "), (7, None)])
+    groups_kept = Counter(group for group, _ in brute.links([(k, t) for k, (_, t) in enumerate(r for r in kept if brute.shingles(r[1]))]))
+    assert set(groups_kept.values()) == {1} and len(groups_kept) == len(groups)
+
+    items = [tuple(r) for r in spark_llm.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    want = Counter(r for r, (n, hit, _) in zip(rows, brute.contamination(rows, items)) if not (hit and 20 * hit >= n))
+    assert len(rows) - sum(want.values()) >= 2 and sum(want.values()) > len(base)
+    clean = corpus_pipeline.drop_contaminated(spark_llm, odd, SMALL)
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == want
+    assert clean.columns == odd.columns
+
+
 def test_stage_list_is_in_the_order_agreed():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "secrets", "packing"]
