@@ -31,6 +31,26 @@ def test_quality_verdict_names_broken_rules(spark_llm):
     assert "upper_letter_ratio" in found[3][1]
 
 
+def test_quality_judges_words_only_where_it_can(spark_llm):
+    spaced = {
+        "ru": "Старый дом стоял на краю деревни, и каждое утро хозяйка выходила к воротам ждать письма от сына.",
+        "el": "Το παλιό σπίτι στεκόταν στην άκρη του χωριού και κάθε πρωί η γυναίκα περίμενε ένα γράμμα.",
+        "ar": "كان البيت القديم يقع على طرف القرية وكانت المرأة تنتظر رسالة كل صباح من ابنها البعيد",
+        "hi": "पुराना घर गाँव के किनारे खड़ा था और हर सुबह औरत अपने बेटे की चिट्ठी का इंतज़ार करती थी",
+        "pl": "Stary dom stał na skraju wsi, nie był duży, ale każdego ranka gospodyni wychodziła na drogę.",
+        "fi": "Vanha talo seisoi kylän laidalla ja joka aamu nainen odotti kirjettä, mutta se ei tullut.",
+        "bad": "Xqzt vrrk plom dwix fnarg hulk brint sklop wexim trund yolp grask mivv, ostrund flib.",
+    }
+    rows = [(k, " ".join(f"{w}{i if j % 3 == 0 else ''}" for i in range(6) for j, w in enumerate(t.split()))) for k, t in spaced.items()]
+    signs = "老房子站在村庄的边缘每天早晨女主人都走到门口等待远方儿子寄来的信件"
+    rows += [("zh", "。".join(signs[i % 20 :] + signs[: 9 + i % 7] for i in range(20)) + "！"), ("zh short", signs), ("zh symbols", (signs + "#$%&|<>*" * 3) * 8)]
+    found = {r["doc_id"]: r for r in quality_rules.apply_rules(spark_llm.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k: r["broken_rules"] for k, r in found.items() if k in ("ru", "el", "ar", "hi", "pl", "fi", "zh")} == dict.fromkeys(("ru", "el", "ar", "hi", "pl", "fi", "zh"), [])
+    assert found["bad"]["broken_rules"] == ["stop_word_ratio"]
+    assert "n_words" in found["zh short"]["broken_rules"] and "symbols_per_word" in found["zh symbols"]["broken_rules"]
+    assert found["zh"]["base_failed"] and found["zh"]["kept"]
+
+
 def test_quality_is_one_projection(docs, capsys):
     quality_rules.apply_rules(docs).explain()
     plan = capsys.readouterr().out

@@ -4,6 +4,11 @@ Each rule bounds one measure of a text.  ``compile_rules`` turns a table of
 rules into Columns; the optimizer sees only built-in functions, so the scan, the
 measures and the verdict are one stage without a shuffle.
 
+Rules on words hold only where words can be judged.  The stop-word rule asks mainly
+Latin texts alone, and takes the lists of ``OTHER_STOP_WORDS`` too.  Texts mainly in
+scripts without spaces have no bound on word length; ``kept`` counts two of their
+letters as a word, ``base_failed`` keeps to the words between spaces.
+
 Defined results: a NULL or blank text has no words, so it fails the word minimum
 and is dropped; repeated rows get the same verdict each; further columns of the
 input are not read.
@@ -12,7 +17,7 @@ input are not read.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +34,25 @@ STOP_WORDS = {
     "fr": "de la le et les des en un du une que est pour qui dans par sur au pas plus avec",
     "es": "de la que el en y a los se del las un por con no una su para es al lo",
 }
+#: The same for further languages in Latin script; asked only where the first lists find too little.
+OTHER_STOP_WORDS = {
+    "nl": "het een van en dat niet zijn voor met op te aan ook als maar", "sv": "och att det som är på för inte av till med har ett om var",
+    "da": "og at det er på ikke af til med har jeg som et der var", "no": "og at det er på ikke av til med har jeg som et ikkje frå eit",
+    "is": "og að er ekki það við til um sem með hann var fyrir", "fy": "it fan yn net dat is wie foar mei hy en op te", "lb": "an de vun den ass net mat dat fir ech si op",
+    "af": "nie het is vir van wat met om aan en dat sy", "it": "di che il non per una sono con del della gli anche come", "pt": "que não uma com para os do da em por mais das dos",
+    "ro": "și în nu care de la cu este pentru mai din pe sunt", "ca": "que els amb no per una és dels les més com del", "gl": "que non unha do da os as máis por con para unha",
+    "oc": "que dels amb per una es lo las son pas dins", "rm": "che ed ils las cun per ina betg ha sin era", "wa": "ki les des po avou nén est dins on ses",
+    "pl": "nie się na jest że do to jak ale od przez dla jego", "cs": "se na je že to ale jako jsou by pro který jsem také", "sk": "sa na je že to ale ako sú by pre ktorý som aj",
+    "sl": "in je da se na za so ki ne pa bi tudi pri", "hr": "je se na da su za nije kao ali što bi od koji", "lt": "ir yra kad ne su tai buvo iš bet kaip jo apie", "lv": "un ir ka ar nav par no bija kas lai to vai",
+    "fi": "ja on ei että se oli hän mutta kun niin ovat myös joka", "et": "ja on ei et see oli ta kui ka mis aga oma", "hu": "az és hogy nem is egy volt ez meg csak de mint már",
+    "tr": "ve bir bu için ile da çok ne daha olarak gibi olan kadar", "az": "və bir bu üçün ilə da olan də daha kimi sonra", "uz": "va bu bir uchun bilan ham edi deb esa kerak", "tk": "we bir bu üçin bilen hem bolan diýip şol",
+    "ku": "û di ku ji li ew bi ez jî ne ev", "mt": "li ta il fil għal ma minn kien dan hija jew", "sq": "dhe në të për një nuk është me nga që si ka", "eu": "eta da ez bat du dira baina ere izan zen hau",
+    "ga": "agus an na ar go is le sé bhí ach do ní", "cy": "yn ac mae ei bod gan oedd wedi ar ond yr", "id": "yang dan di itu dengan untuk ini dari tidak dalam akan pada", "ms": "yang dan di itu dengan untuk ini dari tidak dalam pada ialah",
+    "tl": "ang ng sa na mga ay hindi ito para kung at siya", "vi": "và là của không có cho được một người những trong với các", "sw": "na ya wa kwa ni katika za la hii kuwa lakini yake",
+}
+
+#: Scripts that put no spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 
 
 @dataclass(frozen=True)
@@ -94,32 +118,52 @@ def measures(text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t-\r]"))
     stop = sorted({w for line in STOP_WORDS.values() for w in line.split()})
+    others = sorted({w for line in OTHER_STOP_WORDS.values() for w in line.split()} - set(stop))
     per = lambda n, d: F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(0.0))
 
     def of_parts(p: Column) -> Column:
         w, ls = p["words"], p["lines"]
         n, n_lines = F.size(w).cast("long"), F.size(ls).cast("long")
+        stops = F.size(F.filter(w, lambda x: F.lower(x).isin(stop)))
+        letters = F.regexp_count(text, F.lit(r"\p{L}"))
         chars = F.length(F.array_join(w, "")).cast("long")
+        counts = F.struct(n.alias("n"), n_lines.alias("n_lines"), chars.alias("chars"), letters.alias("letters"), stops.alias("stops"))
+        return let(counts, lambda c: let(judged(w, c), lambda e: measured(w, ls, c, e)))
+
+    def judged(w: Column, c: Column) -> Column:
+        # Scripts and further lists are looked at only where a rule on words could fail.
+        n, letters = c["n"], c["letters"]
+        most = lambda pattern: 2 * F.regexp_count(text, F.lit(pattern)) > letters
+        unspaced = F.when((n < 50) | (c["chars"] > 12 * n), most(UNSPACED)).otherwise(F.lit(False))
+        other = lambda: F.size(F.filter(w, lambda x: F.lower(x).isin(others)))
+        known = F.when(100 * c["stops"] >= n, F.lit(False)).when((letters > 0) & ~most(r"\p{IsLatin}"), F.lit(True)).otherwise(100 * other() >= n)
+        return F.struct(unspaced.alias("unspaced"), ((n > 0) & known).alias("exempt"))
+
+    def measured(w: Column, ls: Column, c: Column, e: Column) -> Column:
+        n, n_lines, letters = c["n"], c["n_lines"], c["letters"]
         symbols = F.regexp_count(text, F.lit(SYMBOLS)).cast("long")
         duplicates = n_lines - F.size(F.array_distinct(ls))
         repeated = _repeated_words(w)
-        letters, upper = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(r"\p{Lu}"))
-        stops = F.size(F.filter(w, lambda x: F.lower(x).isin(stop)))
+        upper = F.regexp_count(text, F.lit(r"\p{Lu}"))
+        units = F.when(e["unspaced"], F.greatest(n, (letters / 2).cast("long"))).otherwise(n)
         return F.struct(
             n.alias("n_words"),
-            chars.alias("word_chars"),
+            c["chars"].alias("word_chars"),
             symbols.alias("n_symbols"),
             duplicates.cast("long").alias("n_dup_lines"),
             repeated.alias("n_repeat_words"),
             per(repeated * 100, n).alias("repeat_word_percent"),
-            per(chars, n).alias("mean_word_chars"),
-            per(symbols, n).alias("symbols_per_word"),
-            per(F.length(text) - F.length(F.translate(text, "!", "")), n).alias("exclamations_per_word"),
+            per(c["chars"], n).alias("mean_word_chars"),
+            per(symbols, units).alias("symbols_per_word"),
+            per(F.length(text) - F.length(F.translate(text, "!", "")), units).alias("exclamations_per_word"),
             per(upper, letters).alias("upper_letter_ratio"),
             per(duplicates, n_lines).alias("duplicate_line_ratio"),
             per(F.size(F.filter(ls, lambda x: x.rlike(r"^\s*[-*•]"))), n_lines).alias("bullet_line_ratio"),
             per(F.size(F.filter(ls, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))), n_lines).alias("ellipsis_line_ratio"),
-            per(stops, n).alias("stop_word_ratio"),
+            per(c["stops"], n).alias("stop_word_ratio"),
+            units.alias("n_units"),
+            e["unspaced"].alias("unspaced"),
+            e["exempt"].alias("stop_words_exempt"),
         )
 
     return let(F.struct(words.alias("words"), lines.alias("lines")), of_parts)
@@ -134,14 +178,25 @@ def broken(rule: Rule, measured: Column) -> Column:
     return out
 
 
+def failed(rule: Rule, measured: Column) -> Column:
+    """Whether the rule is broken, where the text's script and language let it be judged."""
+    if rule.measure == "n_words":
+        return broken(replace(rule, measure="n_units"), measured)
+    if rule.measure == "mean_word_chars":
+        return broken(rule, measured) & ~measured["unspaced"]
+    if rule.measure == "stop_word_ratio":
+        return broken(rule, measured) & ~measured["stop_words_exempt"]
+    return broken(rule, measured)
+
+
 def compile_rules(rules: Sequence[Rule], measured: Column) -> dict[str, Column]:
     """``base_failed``, ``kept`` and the names of broken rules as Columns."""
     base, all_broken = F.lit(False), F.lit(False)
     for rule in rules:
-        all_broken = all_broken | broken(rule, measured)
+        all_broken = all_broken | failed(rule, measured)
         if rule.base:
             base = base | broken(rule, measured)
-    names = F.filter(F.array(*[F.when(broken(r, measured), F.lit(r.measure)) for r in rules]), lambda x: x.isNotNull())
+    names = F.filter(F.array(*[F.when(failed(r, measured), F.lit(r.measure)) for r in rules]), lambda x: x.isNotNull())
     return {"base_failed": base, "kept": ~all_broken, "broken_rules": names}
 
 
