@@ -6,6 +6,7 @@ beyond the fixed values of their rules.
 
 from __future__ import annotations
 
+from traitlens.llm.license_scan import GRAM, LEAST_SHARE, template_list
 from traitlens.llm.quality_rules import RULES, STOP_WORDS
 from traitlens.llm.secret_ledger import BASE_RULES, SecretRule
 from traitlens.llm.secret_ledger import RULES as SECRET_RULES
@@ -117,10 +118,65 @@ SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a
 """
 
 
+def crc32_sql(value: str) -> str:
+    """Unsigned CRC-32 of a short ASCII string, bit by bit."""
+    byte = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({value}, ''), lambda s: CAST(ascii(s) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+def trie_sql() -> str:
+    said = "coalesce(role, '')"
+    mark = f"sha256(concat(length({said}), ':', {said}, coalesce(text, '')))"
+    words = "len(list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))"
+    return f"""
+WITH own AS (SELECT conv_id, list({mark} ORDER BY turn NULLS FIRST, {mark}) AS l, list(coalesce(text, '') ORDER BY turn NULLS FIRST, {mark}) AS ts, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+rebuilt AS (SELECT o.conv_id, list_concat(coalesce(b.l, [])[1:o.h], o.l[o.h + 1:]) AS l, list_concat(coalesce(b.ts, [])[1:o.h], o.ts[o.h + 1:]) AS ts
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+prefixes AS (SELECT conv_id, d, len(l) AS n, array_to_string(l[1:d], ' ') AS node, CASE WHEN d > 0 THEN array_to_string(l[1:d - 1], ' ') END AS parent, coalesce(ts[d], '') AS t
+  FROM (SELECT conv_id, l, ts, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, node, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(CASE WHEN d > 0 THEN {words} ELSE 0 END) AS shared,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM prefixes GROUP BY d, node),
+kids AS (SELECT d - 1 AS d, parent AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (SELECT DISTINCT a.d, a.node, b.d AS bd, b.node AS bnode FROM prefixes a JOIN prefixes b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (SELECT b.d, b.node, sum(n.shared) AS saved, count(*) FILTER (k.n IS NULL) AS leaves FROM below b JOIN nodes n ON n.d = b.bd AND n.node = b.bnode
+  LEFT JOIN kids k ON k.d = b.bd AND k.node = b.bnode GROUP BY ALL)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(x.n_convs AS BIGINT) AS n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM nodes x LEFT JOIN nodes p ON p.d = x.d - 1 AND p.node = x.parent LEFT JOIN kids k ON k.d = x.d AND k.node = x.node JOIN sums s ON s.d = x.d AND s.node = x.node
+"""
+
+
+def license_sql() -> str:
+    listed = lambda words: ", ".join(f"'{w.decode()}'" for w in words)
+    rows = ", ".join(f"({i}, '{label}', {str(own).lower()}, [{listed(words)}])" for i, label, own, words in template_list())
+    words = f"list_filter(string_split_regex({_CAPITALS}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    return f"""
+WITH t(template, label, own, w) AS (VALUES {rows}),
+sizes AS (SELECT template, label, own, greatest(1, len(w) - {GRAM - 1}) AS places, CASE WHEN own THEN 0 ELSE least(8, len(w) // 8) END AS band, CASE WHEN own THEN 1.0 ELSE {LEAST_SHARE} END AS least FROM t),
+tg AS (SELECT template, tpos, array_to_string(w[tpos + 1:tpos + {GRAM}], ' ') AS gram FROM (SELECT template, w, unnest(range(0, len(w) - {GRAM - 1})) AS tpos FROM t)),
+d AS (SELECT doc_id, {words} AS w FROM documents),
+dg AS (SELECT doc_id, pos, array_to_string(w[pos + 1:pos + {GRAM}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(0, len(w) - {GRAM - 1})) AS pos FROM d WHERE len(w) >= {GRAM})),
+votes AS (SELECT DISTINCT doc_id, template, pos - tpos AS diagonal, tpos FROM dg JOIN tg USING (gram)),
+lines AS (SELECT DISTINCT doc_id, template, diagonal FROM votes),
+opened AS (SELECT l.*, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= band THEN 0 ELSE 1 END AS opens FROM lines l JOIN sizes USING (template)),
+spans AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM opened),
+shares AS (SELECT doc_id, template, span, min(diagonal) AS start, count(DISTINCT tpos) AS found FROM votes JOIN spans USING (doc_id, template, diagonal) GROUP BY ALL),
+good AS (SELECT doc_id, label, own, start, found / places AS share FROM shares JOIN sizes USING (template) WHERE found >= least * places),
+f AS (SELECT doc_id, count(*) FILTER (own) AS n_base, min(start) FILTER (own) AS first_word, max(start) FILTER (own) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (own) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM good GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN f ON d.doc_id = f.doc_id
+"""
+
+
 ORACLES = {
     "op3_quality_rules": quality_sql(),
     "op4_positional_index": contamination_sql(),
     "op5_secret_ledger": secrets_sql(),
     "op7_substring_dedup": dedup_sql(),
     "op8_jaccard_join": jaccard_sql(),
+    "op11_prefix_trie": trie_sql(),
+    "op13_license_scan": license_sql(),
 }

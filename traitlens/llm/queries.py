@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitlens.llm import bin_packing, jaccard_join, language_id, line_blocks, positional_index, quality_rules, secret_ledger, substring_dedup, token_transducer, toxicity
+from traitlens.llm import (
+    bin_packing,
+    jaccard_join,
+    language_id,
+    license_scan,
+    line_blocks,
+    periodic_runs,
+    positional_index,
+    prefix_trie,
+    quality_rules,
+    secret_ledger,
+    substring_dedup,
+    token_transducer,
+    toxicity,
+)
 from traitlens.llm.common import held_out, new_folder, table, text_session
 from traitlens.llm.oracles import ORACLES
 
@@ -113,3 +127,18 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = toxicity.scored(docs, toxicity.train(docs, table(spark, folder, "labels")))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op11_prefix_trie")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie_nodes(table(spark, folder, "conversations"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, folder, "documents"))
+
+
+@query("op13_license_scan")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.licenses(table(spark, folder, "documents"))
