@@ -49,6 +49,7 @@ TOLERANCE = 1e-6
 _UNIT = 512
 _UNIT_SHINGLES = 600
 _PAIRS = 40_000
+_KEPT_TRIANGLE = 64
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,11 +119,16 @@ def surviving(values: np.ndarray, sizes: np.ndarray, band: np.ndarray, left: np.
     return alive
 
 
-@lru_cache(maxsize=4096)
-def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=_KEPT_TRIANGLE)
+def _kept_triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
+def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of n rows; only those of small units are kept, as large ones take megabytes each."""
+    return _kept_triangle(n) if n <= _KEPT_TRIANGLE else np.triu_indices(n, 1)
+
+
 def candidate_units(classes: DataFrame) -> DataFrame:
     """Rows (unit, band, cross, second, cid, shingles, signature): who is compared with whom in each unit."""
     width = 2 * ROWS
