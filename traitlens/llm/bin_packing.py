@@ -34,7 +34,8 @@ from traitlens.llm.common import settle, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
-_CACHED_WORDS = 500_000
+#: Words of one generation; two are kept.
+_CACHED_WORDS = 400_000
 _JOINED = 1_000
 _BETWEEN = b"<|endoftext|>"
 _TEXTS = 500
@@ -60,6 +61,7 @@ class WordIds:
         self.tokenizer.no_padding()
         self.between = self.tokenizer.token_to_id(_BETWEEN.decode())
         self.known: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
 
     @staticmethod
     def words(text: str) -> list[bytes]:
@@ -84,8 +86,11 @@ class WordIds:
         split = [self.words(t) for t in texts]
         new = list(set().union(*split).difference(self.known))
         if len(self.known) + len(new) > _CACHED_WORDS:
-            self.known = {}
+            # What a full generation knew is looked up once more, so frequent words outlive it.
+            self.known, self.earlier = {}, self.known
             new = list(set().union(*split))
+        self.known.update((w, self.earlier[w]) for w in new if w in self.earlier)
+        new = [w for w in new if w not in self.known]
         self.known.update(self._encoded([w for w in new if b"<|" not in w]))
         odd = [w for w in new if b"<|" in w]
         self.known.update(zip(odd, (self._bytes(e) for e in self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False))))
