@@ -1,16 +1,12 @@
 import random
 
 import pytest
+from brute import invented
 from pyspark.sql import types as T
 
 from traitlens.llm.common import let_workers_import
 
 
-def invented(rng, n):
-    stock = "the of and to in er th on an re he ti en at ed nd ha or es is it st ar te se le al de la".split()
-    return " ".join("".join(rng.choice(stock) for _ in range(rng.randint(1, 3))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def spark_llm(spark):
     let_workers_import(spark)

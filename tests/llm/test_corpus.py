@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
+from brute import invented
 from pyspark.sql import functions as F
 
 from traitlens.llm import bin_packing, components, jaccard_join, language_id, positional_index, substring_dedup, toxicity
@@ -85,6 +86,21 @@ def test_jaccard_splits_large_buckets(docs, rows, monkeypatch):
     assert bag(r for r in jaccard_join.similar_documents(docs).collect() if r["doc_id"] is not None) == want
 
 
+def test_jaccard_reads_one_text_per_class_where_ids_repeat(spark_llm, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        words = invented(rng, 60).split()
+        near = [*words[:-1], "other"]
+        rows += [(None if i % 2 else 8, " ".join(words)), (None if i % 3 else 8, " ".join(near))]
+    read = []
+    join = jaccard_join.join_small
+    monkeypatch.setattr(jaccard_join, "join_small", lambda *a, **k: read.append(join(*a, **k)) or read[-1])
+    found = jaccard_join.similar_documents(spark_llm.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_links"] for r in found) == sorted(n for _, n in brute.links(rows))
+    assert [x.count() for x in read] == [120]
+
+
 def test_posterior_is_a_beta_tail():
     rng = np.random.default_rng(0)
     draws = rng.beta(13, 5, 200_000)
@@ -174,6 +190,16 @@ def test_language_accuracy(spark_llm, small):
     assert language_id.accepted(odd, model, 0.0).count() == 2
 
 
+@pytest.mark.parametrize("shared", [None, 3, 8])
+def test_language_sample_where_ids_repeat(spark_llm, shared):
+    rng = random.Random(2)
+    rows = [(shared, f"{invented(rng, 8)} number{i}", "en") for i in range(3000)] + [(100_000 + i, f"mot {i} {invented(rng, 8)}", "fr") for i in range(3000)]
+    rows += [(shared, "one and the same", "en")] * 1500 + [(200_000 + i, "dieser Text", "de") for i in range(3)]
+    df = spark_llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes = {r["lang"]: r["n"] for r in language_id.training_vectors(df, 300).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert 120 <= sizes["en"] <= 420 and 200 <= sizes["fr"] <= 420 and sizes["de"] >= 1
+
+
 def test_language_without_labels(spark_llm):
     df = spark_llm.createDataFrame([(1, "text here", None)], "doc_id long, text string, lang string")
     model = language_id.train(df)

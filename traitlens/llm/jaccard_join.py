@@ -74,7 +74,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, set key (NULL without words), number of shingles and signature of every row."""
+    """doc_id, text, set key (NULL without words), number of shingles and signature of every row."""
 
     @F.pandas_udf("key binary, shingles int, signature binary")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -87,8 +87,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 signatures.append(signature(found).tobytes() if len(found) else None)
             yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "shingles": counts, "signature": pd.Series(signatures, dtype=object)})
 
-    made = sketch.asNondeterministic()(text_or_empty(text_col))
-    return docs.select(F.col(id_col).alias("doc_id"), made.alias("s")).select("doc_id", "s.*")
+    made = sketch.asNondeterministic()(F.col("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return texts.withColumn("s", made).select("doc_id", "text", "s.*")
 
 
 def posterior(matches: int, seen: int, threshold: float) -> float:
@@ -255,15 +256,17 @@ def verify_units(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOL
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest id among all documents linked to it, directly or over others) and n_links of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    sketched = settle(sketches(docs, id_col, text_col))
+    # Rows have numbers of their own from here on: ids may repeat or be missing.
+    sketched = settle(sketches(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     grouped = sketched.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"), F.first("signature").alias("signature")
+        F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"), F.first("signature").alias("signature")
     )
     # Numbers are fixed once the table is written.
     classes = settle(grouped.withColumn("cid", F.monotonically_increasing_id()))
     pairs = settle(compare_units(candidate_units(classes), threshold))
-    needed = settle(pairs.select(F.explode(F.array_distinct(F.concat("left_ids", "right_ids"))).alias("cid")).distinct().join(classes.select("cid", "key", "first_id", "copies"), "cid"))
-    texts = _texts_of(docs.select(F.col(id_col).alias("first_id"), text_or_empty(text_col).alias("text")), needed)
+    needed = settle(pairs.select(F.explode(F.array_distinct(F.concat("left_ids", "right_ids"))).alias("cid")).distinct().join(classes.select("cid", "row", "copies"), "cid"))
+    # One text for each needed class; the list is broadcast while it is short, else the texts are shuffled.
+    texts = settle(join_small(sketched.select("row", "text"), needed, ["row"]).select("cid", "copies", "text"))
     verified = settle(verify_units(pairs, texts, threshold))
     parts = components(verified.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     sums = verified.groupBy("cid").agg(F.sum("links").alias("links"))
@@ -274,21 +277,3 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = sketched.select("doc_id", "key").join(named, F.col("key") == F.col("__key"), "left")
     class_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).cast(kind)
     return rows.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def _texts_of(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """(cid, copies, text): one text for each needed class.
-
-    The rows with the class's first id are read; where ids repeat, only a text with the class's own
-    shingles is taken.  The list of needed classes is broadcast while it is short, else the texts are shuffled.
-    """
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = [hashlib.blake2b(shingle_set(w).tobytes(), digest_size=16).digest() for w in text_hashes(batch["text"])]
-            right = [bytes(k) == m for k, m in zip(batch["key"], keys)]
-            yield batch.loc[right, ["cid", "copies", "text"]]
-
-    found = join_small(texts, needed, ["first_id"]).select("cid", "copies", "key", "text").mapInPandas(own, "cid long, copies long, text string")
-    # Repeated rows give a class its text more than once.
-    return settle(found.groupBy("cid").agg(F.first("copies").alias("copies"), F.first("text").alias("text")))

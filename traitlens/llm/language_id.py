@@ -131,13 +131,18 @@ class LanguageModel:
 
 
 def training_vectors(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(lang, features) of a bounded sample of rows that are not held out."""
-    usable = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for language, n in counts.items():
-        share = F.when(F.col("lang") == language, F.lit(sample / n)).otherwise(share)
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    """(lang, features) of about ``sample`` rows of each language, none held out.
+
+    Rows are drawn by a hash of id and text, so rows that share an id are drawn each by its own text and
+    rows equal in both count once.  The row with the smallest hash is always drawn: no language is lost.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).withColumn("__draw", F.xxhash64("doc_id", "text", F.lit(3)))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("__draw").alias("first")).collect()
+    chosen = F.lit(False)
+    for r in counts:
+        drawn_hash = (F.pmod("__draw", F.lit(1 << 20)) < sample / r["n"] * (1 << 20)) | (F.col("__draw") == r["first"])
+        chosen = F.when(F.col("lang") == r["lang"], drawn_hash).otherwise(chosen)
+    drawn = usable.where(chosen).groupBy("lang", "__draw").agg(F.first("text").alias("text"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
