@@ -3,11 +3,13 @@
 import random
 
 import brute
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from traitlens.llm import line_blocks, quality_rules, secret_ledger, token_transducer
 from traitlens.llm.common import new_folder
+from traitlens.llm.oracles import quality_sql
 from traitlens.llm.queries import tokenizer_path
 
 
@@ -44,11 +46,20 @@ def test_quality_judges_words_only_where_it_can(spark_llm):
     rows = [(k, " ".join(f"{w}{i if j % 3 == 0 else ''}" for i in range(6) for j, w in enumerate(t.split()))) for k, t in spaced.items()]
     signs = "老房子站在村庄的边缘每天早晨女主人都走到门口等待远方儿子寄来的信件"
     rows += [("zh", "。".join(signs[i % 20 :] + signs[: 9 + i % 7] for i in range(20)) + "！"), ("zh short", signs), ("zh symbols", (signs + "#$%&|<>*" * 3) * 8)]
-    found = {r["doc_id"]: r for r in quality_rules.apply_rules(spark_llm.createDataFrame(rows, "doc_id string, text string")).collect()}
-    assert {k: r["broken_rules"] for k, r in found.items() if k in ("ru", "el", "ar", "hi", "pl", "fi", "zh")} == dict.fromkeys(("ru", "el", "ar", "hi", "pl", "fi", "zh"), [])
+    rows += [("zh spaced", " ".join(signs[i % 20 :] + signs[: 9 + i % 7] for i in range(60)))]
+    frame = spark_llm.createDataFrame(rows, "doc_id string, text string")
+    found = {r["doc_id"]: r for r in quality_rules.apply_rules(frame).collect()}
+    assert {k: r["broken_rules"] for k, r in found.items() if k in ("ru", "el", "ar", "hi", "pl", "fi")} == dict.fromkeys(("ru", "el", "ar", "hi", "pl", "fi"), [])
     assert found["bad"]["broken_rules"] == ["stop_word_ratio"]
     assert "n_words" in found["zh short"]["broken_rules"] and "symbols_per_word" in found["zh symbols"]["broken_rules"]
-    assert found["zh"]["base_failed"] and found["zh"]["kept"]
+    # The base rules come first: a text they fail is not kept, whatever its script.
+    assert found["zh"]["base_failed"] and not found["zh"]["kept"] and found["zh"]["broken_rules"] == ["n_words"]
+    assert not any(r["base_failed"] and r["kept"] for r in found.values())
+    con = duckdb.connect()
+    documents = frame.toPandas()  # noqa: F841
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    twin = con.execute(quality_sql()).fetchall()
+    assert sorted(twin) == sorted(tuple(r[n] for n in names) for r in found.values())
 
 
 def test_quality_is_one_projection(docs, capsys):

@@ -7,7 +7,7 @@ beyond the fixed values of their rules.
 from __future__ import annotations
 
 from traitlens.llm.license_scan import GRAM, LEAST_SHARE, template_list
-from traitlens.llm.quality_rules import RULES, STOP_WORDS
+from traitlens.llm.quality_rules import OTHER_STOP_WORDS, RULES, STOP_WORDS
 from traitlens.llm.secret_ledger import BASE_RULES, SecretRule
 from traitlens.llm.secret_ledger import RULES as SECRET_RULES
 
@@ -21,13 +21,14 @@ def _count(pattern: str) -> str:
 
 
 def quality_sql() -> str:
-    stop = ", ".join(f"'{w}'" for w in sorted({w for line in STOP_WORDS.values() for w in line.split()}))
-    broken = {
-        True: " OR ".join(f"{r.measure} < {r.low}" for r in RULES if r.low is not None and r.base)
-        + " OR "
-        + " OR ".join(f"{r.measure} > {r.high}" for r in RULES if r.high is not None and r.base),
-        False: " OR ".join([f"{r.measure} < {r.low}" for r in RULES if r.low is not None] + [f"{r.measure} > {r.high}" for r in RULES if r.high is not None]),
-    }
+    known = {w for line in STOP_WORDS.values() for w in line.split()}
+    stop = ", ".join(f"'{w}'" for w in sorted(known))
+    others = ", ".join(f"'{w}'" for w in sorted({w for line in OTHER_STOP_WORDS.values() for w in line.split()} - known))
+    only_where = {"mean_word_chars": "NOT unspaced", "stop_word_ratio": "NOT exempt"}
+    sides = lambda r: [f"{r.measure} {sign} {bound}" for sign, bound in (("<", r.low), (">", r.high)) if bound is not None]
+    base = " OR ".join(x for r in RULES if r.base for x in sides(r))
+    further = " OR ".join(f"({x} AND {only_where.get(r.measure, 'true')})" for r in RULES if not r.base for x in sides(r))
+    unspaced = "".join(chr(92) + "p{" + s + "}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS ls FROM documents),
@@ -38,14 +39,18 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
   CAST({_count("[#*$%&|<>]")} AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, {_count("!")} AS marks, {_count(chr(92) + "p{L}")} AS letters, {_count(chr(92) + "p{Lu}")} AS upper_letters,
   len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*[-*•]'))) AS bullets, len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)\\s*$'))) AS dots,
-  len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS stops, len(ls) AS n_lines
+  len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS stops, len(list_filter(w, lambda x: lower(x) IN ({others}))) AS others, len(ls) AS n_lines,
+  {_count("[" + unspaced + "]")} AS unspaced_letters, {_count(chr(92) + "p{Latin}")} AS latin_letters
   FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id),
+u AS (SELECT *, (n_words < 50 OR word_chars > 12 * n_words) AND 2 * unspaced_letters > letters AS unspaced,
+  n_words > 0 AND CASE WHEN 100 * stops >= n_words THEN false WHEN letters > 0 AND 2 * latin_letters <= letters THEN true ELSE 100 * others >= n_words END AS exempt FROM m),
+v AS (SELECT *, CASE WHEN unspaced THEN greatest(n_words, letters // 2) ELSE n_words END AS n_units FROM u),
 r AS (SELECT *, coalesce(100.0 * n_repeat_words / nullif(n_words, 0), 0) AS repeat_word_percent, coalesce(1.0 * word_chars / nullif(n_words, 0), 0) AS mean_word_chars,
-  coalesce(1.0 * n_symbols / nullif(n_words, 0), 0) AS symbols_per_word, coalesce(1.0 * marks / nullif(n_words, 0), 0) AS exclamations_per_word,
+  coalesce(1.0 * n_symbols / nullif(n_units, 0), 0) AS symbols_per_word, coalesce(1.0 * marks / nullif(n_units, 0), 0) AS exclamations_per_word,
   coalesce(1.0 * upper_letters / nullif(letters, 0), 0) AS upper_letter_ratio, coalesce(1.0 * n_dup_lines / nullif(n_lines, 0), 0) AS duplicate_line_ratio,
   coalesce(1.0 * bullets / nullif(n_lines, 0), 0) AS bullet_line_ratio, coalesce(1.0 * dots / nullif(n_lines, 0), 0) AS ellipsis_line_ratio,
-  coalesce(1.0 * stops / nullif(n_words, 0), 0) AS stop_word_ratio FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({broken[True]}) AS base_failed, NOT ({broken[False]}) AS kept FROM r
+  coalesce(1.0 * stops / nullif(n_words, 0), 0) AS stop_word_ratio FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) AS base_failed, NOT ({base} OR {further}) AS kept FROM r
 """
 
 

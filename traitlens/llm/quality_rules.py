@@ -4,10 +4,11 @@ Each rule bounds one measure of a text.  ``compile_rules`` turns a table of
 rules into Columns; the optimizer sees only built-in functions, so the scan, the
 measures and the verdict are one stage without a shuffle.
 
-Rules on words hold only where words can be judged.  The stop-word rule asks mainly
-Latin texts alone, and takes the lists of ``OTHER_STOP_WORDS`` too.  Texts mainly in
-scripts without spaces have no bound on word length; ``kept`` counts two of their
-letters as a word, ``base_failed`` keeps to the words between spaces.
+The base rules count the words between spaces in every script, and what fails them is
+never kept.  Of the other rules on words, the stop-word rule asks mainly Latin texts
+alone, and takes the lists of ``OTHER_STOP_WORDS`` too; texts mainly in scripts without
+spaces have no bound on word length, and two of their letters count as a word where
+signs are set against words.
 
 Defined results: a NULL or blank text has no words, so it fails the word minimum
 and is dropped; repeated rows get the same verdict each; further columns of the
@@ -17,7 +18,7 @@ input are not read.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,8 +181,6 @@ def broken(rule: Rule, measured: Column) -> Column:
 
 def failed(rule: Rule, measured: Column) -> Column:
     """Whether the rule is broken, where the text's script and language let it be judged."""
-    if rule.measure == "n_words":
-        return broken(replace(rule, measure="n_units"), measured)
     if rule.measure == "mean_word_chars":
         return broken(rule, measured) & ~measured["unspaced"]
     if rule.measure == "stop_word_ratio":
