@@ -161,3 +161,17 @@ def test_pieces_of_one_value_follow_its_rows(spark, monkeypatch):
     assert (out.p.to_numpy() == np.arange(1, 20_001)).all()
     known = out[out.v.notna()]
     assert known.v.is_monotonic_increasing and known[known.v == 1.0].id.is_monotonic_increasing
+
+
+def test_splits_merged_in_two_stages_change_no_result(spark, monkeypatch):
+    """Sketches meet by a salt first: ranks stay exact, splits stay even, empty groups and NULL keys keep a row."""
+    pdf, df = skewed(spark)
+    df = df.unionByName(spark.createDataFrame([(90_001, "empty", None)], "id long, g string, v double"))
+    wanted = {r.id: r.Rank for r in ordering.rank_within(df, ["g"], F.col("v"), ranges=16).collect()}
+    monkeypatch.setattr(ordering, "_FEW_SALTS", 1)
+    splits = {r.g: r["__splits"] for r in ordering._split_table(df, ["g"], "v", 16, salts=3).collect()}
+    assert set(splits) == {"a", "b", None, "empty"} and not splits["empty"]
+    assert 1.5 in splits["a"] and len(splits["a"]) > 5
+    assert {r.id: r.Rank for r in ordering.rank_within(df, ["g"], F.col("v"), ranges=16).collect()} == wanted
+    got = {r.g: r.q for r in ordering.exact_quantiles(df.where("v is not null"), ["g"], "v", [0.25, 0.5]).collect()}
+    assert np.allclose(got["a"], np.quantile(pdf.v[(pdf.g == "a") & pdf.v.notna()], [0.25, 0.5]))

@@ -487,7 +487,7 @@ def held_out_losses(state: _State, fits: Sequence[Fit], least: float = 1e-15) ->
 
 
 def held_out_rows(binned: Binned, fits: Sequence[Fit], row_id: str = "rowIndex") -> DataFrame:
-    """(row id, level, resample, p_observed, pred): every row scored by the fits that hold it out, in one pass."""
+    """(row id, obs, part, p_observed, pred), part the resample: every row scored by the fits that hold it out, in one pass."""
     state = _State(binned.table, len(binned.features), binned.outputs)
     tasks = _tasks(fits, range(len(fits)), final=True)
     for task, fit in zip(tasks, fits):
@@ -504,11 +504,11 @@ def held_out_rows(binned: Binned, fits: Sequence[Fit], row_id: str = "rowIndex")
                     mine = np.flatnonzero(_has(block["held"], task.resample))
                     if len(mine):
                         p = _probabilities(_margins(task, block["bins"][mine], np.zeros((len(mine), outputs))))
-                        yield pd.DataFrame({"id": ids[mine], "y": y[mine], "resample": task.resample, "p": p[np.arange(len(mine)), y[mine]], "k": p.argmax(axis=1)})
+                        yield pd.DataFrame({"id": ids[mine], "y": y[mine], "part": task.resample, "p": p[np.arange(len(mine)), y[mine]], "k": p.argmax(axis=1)})
 
     levels = F.array(*[F.lit(v) for v in binned.levels])
-    scored = binned.table.mapInPandas(score, f"id {id_type}, y int, resample int, p double, k long")
-    return scored.select(F.col("id").alias(row_id), F.get(levels, F.col("y")).alias("obs"), "resample", F.col("p").alias("p_observed"), F.get(levels, F.col("k").cast("int")).alias("pred"))
+    scored = binned.table.mapInPandas(score, f"id {id_type}, y int, part int, p double, k long")
+    return scored.select(F.col("id").alias(row_id), F.get(levels, F.col("y")).alias("obs"), "part", F.col("p").alias("p_observed"), F.get(levels, F.col("k").cast("int")).alias("pred"))
 
 
 def fit_histogram(df: DataFrame, features: Sequence[str], label: str, levels: Sequence[str], params: BoostParams, row_id: str = "rowIndex") -> Ensemble:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traitlens.functions.names import col
+from traitlens.operators.sketches import stages
 from traitlens.operators.skew import hot_keys, key_text
 from traitlens.sources.store import join_small, settle
 
@@ -32,6 +34,7 @@ _RANGE, _SUB, _POINT, _N, _START, _FIRST = "__range", "__sub", "__point", "__n",
 # Rows that share one value are cut into pieces of about this many rows.
 PIECE_ROWS = 100_000
 _BROADCAST_CELLS = 2_000_000
+_FEW_SALTS = 8
 
 
 def default_ranges(df: DataFrame) -> int:
@@ -45,10 +48,27 @@ def _with_group(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str
     return (df, list(keys)) if keys else (df.withColumn("__all", F.lit(1)), ["__all"])
 
 
-def _split_table(df: DataFrame, keys: Sequence[str], value: str, ranges: int) -> DataFrame:
+def _split_table(df: DataFrame, keys: Sequence[str], value: str, ranges: int, salts: int | None = None) -> DataFrame:
+    """Split points per group, merged in two stages: no task merges the sketches of all map tasks.
+
+    First each group's rows meet by a salt of their map task; of a salt's quantiles as many stay as its
+    share of the rows asks for.  Then the groups' points give the splits, which only decide how even the
+    ranges are.
+    """
     probabilities = [i / ranges for i in range(1, ranges)]
+    names = [col(k) for k in keys]
+    salts = salts or stages(df)
+    # Below the square of this a single merge sees few sketches.
+    if salts >= _FEW_SALTS:
+        salted = df.groupBy(*names, (F.spark_partition_id() % salts).alias("__salt"))
+        parts = settle(salted.agg(F.percentile_approx(value, probabilities, 10 * ranges).alias("__points"), F.count(value).alias(_N)))
+        largest = parts.groupBy(*names).agg(F.max(_N).alias("__most"))
+        weighed = parts.join(largest.withColumnsRenamed({k: f"__{k}" for k in keys}), reduce(lambda a, b: a & b, [col(k).eqNullSafe(col(f"__{k}")) for k in keys]))
+        kept = F.ceil((ranges - 1) * F.col(_N) / F.col("__most")).cast("int")
+        picked = F.transform(F.sequence(F.lit(1), kept), lambda i: F.element_at("__points", F.ceil(i * F.lit(ranges - 1) / kept).cast("int")))
+        df = weighed.select(*names, F.explode_outer(F.when(F.col(_N) > 0, picked)).alias(value))
     sketch = F.percentile_approx(value, probabilities, 10 * ranges)
-    return settle(df.groupBy(*[col(k) for k in keys]).agg(F.array_distinct(sketch).alias("__splits")))
+    return settle(df.groupBy(*names).agg(F.array_distinct(sketch).alias("__splits")))
 
 
 def _with_splits_below(df: DataFrame, value: str, ranges: int) -> DataFrame:

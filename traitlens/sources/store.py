@@ -45,6 +45,14 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[app]
 
 
+def new_shared_folder(spark: SparkSession, name: str) -> str:
+    """A path under the shared folder that nothing else uses; an open ``settled_scope`` deletes it."""
+    path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 @contextmanager
 def settled_scope(spark: SparkSession) -> Iterator[None]:
     """Delete the tables settled inside the block when it ends.
@@ -72,9 +80,7 @@ def settle(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     rebalance hint keeps the files even, splitting large partitions.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    path = new_shared_folder(spark, "settled")
     writer = df.write
     if partition_by:
         writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
