@@ -37,6 +37,8 @@ END_ID = 1
 #: Words of one generation; two are kept.
 _CACHED_WORDS = 400_000
 _JOINED = 1_000
+_JOINED_LETTERS = 20_000
+_WORD_END = "</w>"
 _BETWEEN = b"<|endoftext|>"
 _TEXTS = 500
 
@@ -46,8 +48,8 @@ class WordIds:
 
     The tokenizer lowers letters, drops white space and never merges across a
     change between letters and other signs.  So ids of a text are the ids of its
-    words between ASCII white space, one after another; a stop or comma that ends
-    a word of letters may stand alone, and ASCII letters may be lowered first
+    words between ASCII white space, one after another; signs that end a word of
+    letters are encoded apart from it, and ASCII letters may be lowered first
     unless the text holds the beginning of a special token.
     """
 
@@ -60,44 +62,80 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.between = self.tokenizer.token_to_id(_BETWEEN.decode())
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether a token ends a run of letters.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
         self.earlier: dict[bytes, bytes] = {}
 
     @staticmethod
     def words(text: str) -> list[bytes]:
         raw = text.encode()
-        if b"<|" not in raw:
-            raw = raw.lower()
-        return _ENDING.sub(rb" \1", raw).split()
+        return (raw if b"<|" in raw else raw.lower()).split()
 
     @staticmethod
     def _bytes(encoding) -> bytes:
         return np.asarray(encoding.ids, dtype="<u4").tobytes()
 
+    def _joined(self, words: list[bytes], between: bytes) -> bytes:
+        return self._bytes(self.tokenizer.encode_batch_fast([between.join(words).decode()], add_special_tokens=False)[0])
+
+    def _letters(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of words of letters only: joined by spaces, cut after the tokens that end a word."""
+        for at in range(0, len(words), _JOINED_LETTERS):
+            some = words[at : at + _JOINED_LETTERS]
+            ids = self._joined(some, b" ")
+            cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 4).tolist()
+            if len(cuts) == len(some):
+                yield from zip(some, (ids[a:b] for a, b in zip([0, *cuts], cuts)))
+            else:
+                yield from self._encoded(some)
+
     def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids of many words from few calls: the words are joined by a special token and the ids cut there."""
+        """Ids of any words without a special token: joined by one, and cut there."""
         for at in range(0, len(words), _JOINED):
             some = words[at : at + _JOINED]
-            ids = self._bytes(self.tokenizer.encode_batch_fast([_BETWEEN.join(some).decode()], add_special_tokens=False)[0])
+            ids = self._joined(some, _BETWEEN)
             cuts = (4 * np.flatnonzero(np.frombuffer(ids, "<u4") == self.between)).tolist()
             yield from zip(some, (ids[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(ids)])))
 
+    def _learn(self, words: Iterable[bytes]) -> None:
+        """Add words that are not known; signs at their ends are looked up apart."""
+        known, parts, letters, others = self.known, [], set(), set()
+        for word in words:
+            if word[-1] in _SIGNS and _LETTER.search(stem := word.rstrip(_SIGNS)):
+                parts.append((word, stem))
+                if (signs := word[len(stem) :]) not in known:
+                    others.add(signs)
+                if stem in known:
+                    continue
+                word = stem
+            (letters if word.isalpha() or _LETTERS.fullmatch(word) else others).add(word)
+        known.update(self._letters(list(letters)))
+        known.update(self._encoded([w for w in others if b"<|" not in w]))
+        odd = [w for w in others if b"<|" in w]
+        known.update(zip(odd, (self._bytes(e) for e in self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False))))
+        for word, stem in parts:
+            known[word] = known[stem] + known[word[len(stem) :]]
+
     def of(self, texts: Iterable[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
-        new = list(set().union(*split).difference(self.known))
+        new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > _CACHED_WORDS:
             # What a full generation knew is looked up once more, so frequent words outlive it.
             self.known, self.earlier = {}, self.known
-            new = list(set().union(*split))
-        self.known.update((w, self.earlier[w]) for w in new if w in self.earlier)
-        new = [w for w in new if w not in self.known]
-        self.known.update(self._encoded([w for w in new if b"<|" not in w]))
-        odd = [w for w in new if b"<|" in w]
-        self.known.update(zip(odd, (self._bytes(e) for e in self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False))))
+            new = set().union(*split)
+        again = new.intersection(self.earlier)
+        self.known.update((w, self.earlier[w]) for w in again)
+        self._learn(new - again)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-_ENDING = re.compile(rb"(?<=[A-Za-z])([.,])(?=\s|$)")
+#: ASCII signs but those of special tokens, a letter of ASCII or Latin-1 at the end, and words of such letters.
+_SIGNS = rb"""!"#$%&'()*+,-./:;=?@[\]^_`{}~"""
+_LETTER = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 @lru_cache(maxsize=2)
