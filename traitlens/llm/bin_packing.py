@@ -35,7 +35,7 @@ from traitlens.llm.common import settle, text_or_empty
 CAPACITY = 4096
 END_ID = 1
 #: Words of one generation; two are kept.
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 150_000
 _JOINED = 1_000
 _JOINED_LETTERS = 20_000
 _WORD_END = "</w>"
