@@ -11,6 +11,7 @@ from brute import invented
 from pyspark.sql import functions as F
 
 from traitlens.llm import bin_packing, components, jaccard_join, language_id, positional_index, substring_dedup, toxicity
+from traitlens.llm.common import settle
 from traitlens.llm.queries import tokenizer_path
 from traitlens.llm.word_hash import text_hashes, windows
 
@@ -80,6 +81,12 @@ def test_jaccard(docs, no_docs, rows):
     assert jaccard_join.similar_documents(no_docs).count() == 0
 
 
+def test_jaccard_reads_settled_rows_again(docs, rows):
+    numbered = settle(docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text"))
+    as_rows = lambda **o: bag(jaccard_join.similar_documents(numbered, **o).collect())
+    assert as_rows(unique_ids=True) == as_rows()
+
+
 def test_jaccard_splits_large_buckets(docs, rows, monkeypatch):
     monkeypatch.setattr(jaccard_join, "_UNIT", 3)
     want = bag((d, c, n) for (d, _), (c, n) in zip(rows, brute.links(rows)) if d is not None)

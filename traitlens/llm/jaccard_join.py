@@ -253,11 +253,19 @@ def verify_units(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOL
     return rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(verify, "cid long, root long, links long")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (smallest id among all documents linked to it, directly or over others) and n_links of every row."""
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, unique_ids: bool = False) -> DataFrame:
+    """doc_id, class_id (smallest id among all documents linked to it, directly or over others) and n_links of every row.
+
+    ``unique_ids`` says that ``docs`` is a settled table whose ids name its rows: its texts are then read again, not copied.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     # Rows have numbers of their own from here on: ids may repeat or be missing.
-    sketched = settle(sketches(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    if unique_ids:
+        sketched = settle(sketches(docs, id_col, text_col).drop("text").withColumn("row", F.col("doc_id")))
+        source = docs.select(F.col(id_col).alias("row"), text_or_empty(text_col).alias("text"))
+    else:
+        sketched = settle(sketches(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+        source = sketched.select("row", "text")
     grouped = sketched.where("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"), F.first("signature").alias("signature")
     )
@@ -266,7 +274,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = settle(compare_units(candidate_units(classes), threshold))
     needed = settle(pairs.select(F.explode(F.array_distinct(F.concat("left_ids", "right_ids"))).alias("cid")).distinct().join(classes.select("cid", "row", "copies"), "cid"))
     # One text for each needed class; the list is broadcast while it is short, else the texts are shuffled.
-    texts = settle(join_small(sketched.select("row", "text"), needed, ["row"]).select("cid", "copies", "text"))
+    texts = settle(join_small(source, needed, ["row"]).select("cid", "copies", "text"))
     verified = settle(verify_units(pairs, texts, threshold))
     parts = components(verified.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     sums = verified.groupBy("cid").agg(F.sum("links").alias("links"))
