@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The row with the smallest id of each group of similar ones, rows without id last; of repeated rows one stays."""
     text_session(spark)
     rows = numbered(docs)
-    found = settle(jaccard_join.similar_documents(rows, id_col="__row").where("n_links > 0").withColumnRenamed("doc_id", "__row"))
+    found = settle(jaccard_join.similar_documents(rows, id_col="__row", unique_ids=True).where("n_links > 0").withColumnRenamed("doc_id", "__row"))
     first = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
     linked = rows.select("__row", "doc_id").join(found.select("__row", "class_id"), "__row")
     winners = linked.groupBy("class_id").agg(first()).select("first.__row")
