@@ -1,5 +1,7 @@
 import itertools
 import math
+import random
+import time
 
 import numpy as np
 import pytest
@@ -171,6 +173,76 @@ def test_repeated_feature_on_a_path_and_unused_features(spark):
     assert shap.additivity(df, model).agg(F.max("Gap")).first()[0] < 1e-12
 
 
+def random_tree(rng, depth, features, repeats=True):
+    """A full tree with random splits and covers, some of them 0."""
+    nodes = []
+
+    def grow(level, cover):
+        i = len(nodes)
+        nodes.append(None)
+        if level == depth:
+            nodes[i] = Node(None, 0.0, True, -1, -1, rng.gauss(0, 1), cover)
+            return i
+        part = cover * rng.choice([0.0, 0.1, 0.5, 0.7]) if repeats else cover * rng.uniform(0.2, 0.8)
+        feature = rng.choice(features) if repeats else features[level]
+        threshold, missing_left = rng.uniform(-1, 1), rng.random() < 0.5
+        left, right = grow(level + 1, part), grow(level + 1, cover - part)
+        nodes[i] = Node(feature, threshold, missing_left, left, right, 0.0, cover)
+        return i
+
+    grow(0, 64.0)
+    return Tree(nodes, 0, rng.uniform(0.2, 1.0))
+
+
+def test_shared_prefixes_give_shapley_values_of_deep_trees(monkeypatch):
+    """Depth 7, features repeated on paths, covers of 0, gaps; blocks and slices of any size agree."""
+    rng = random.Random(5)
+    features = ["a", "b", "c", "d", "e"]
+    position = {f: i for i, f in enumerate(features)}
+    trees = [random_tree(rng, depth, features) for depth in (0, 1, 3, 7, 7)]
+    x = np.array([[rng.uniform(-1, 1) if rng.random() < 0.8 else np.nan for _ in range(9)] for _ in features])
+
+    def value(tree, row, known, i=0):
+        n = tree.nodes[i]
+        if n.feature is None:
+            return n.value * tree.weight
+        if n.feature in known:
+            left = n.missing_left if math.isnan(row[n.feature]) else row[n.feature] <= n.threshold
+            return value(tree, row, known, n.left if left else n.right)
+        return sum(tree.nodes[c].cover / n.cover * value(tree, row, known, c) for c in (n.left, n.right)) if n.cover else 0.0
+
+    whole = shap.batch_contributions(shap.tree_blocks(trees, position), x)
+    for r in range(x.shape[1]):
+        row = {f: x[position[f], r] for f in features}
+        for f in features:
+            rest = [g for g in features if g != f]
+            want = sum(
+                math.factorial(k) * math.factorial(4 - k) / math.factorial(5) * sum(value(t, row, {*s, f}) - value(t, row, set(s)) for t in trees)
+                for k in range(5) for s in itertools.combinations(rest, k)
+            )
+            assert math.isclose(whole[position[f], r], want, abs_tol=1e-9)
+    monkeypatch.setattr(shap, "_BLOCK_NODES", 1)
+    monkeypatch.setattr(shap, "_BLOCK_BYTES", 1)
+    assert np.allclose(shap.batch_contributions(shap.tree_blocks(trees, position), x), whole, atol=1e-12)
+
+
+def test_attribution_work_follows_edges():
+    """Time per tree stays flat from 50 to 500 trees of depth 8, and products fit the bytes a task may hold."""
+    rng = random.Random(6)
+    features = [f"f{i}" for i in range(8)]
+    position = {f: i for i, f in enumerate(features)}
+    trees = [random_tree(rng, 8, features, repeats=False) for _ in range(500)]
+    x = np.random.default_rng(1).uniform(-1, 1, (8, 64))
+    seconds = {}
+    for n in (50, 500):
+        blocks = shap.tree_blocks(trees[:n], position)
+        assert sum(len(b) - 1 for b in blocks) == n * 510 and max(len(b) for b in blocks) <= shap._BLOCK_NODES
+        start = time.perf_counter()
+        shap.batch_contributions(blocks, x)
+        seconds[n] = (time.perf_counter() - start) / n
+    assert seconds[500] < 3 * seconds[50]
+
+
 def test_multiclass_contributions_share_row_ids(table):
     model = boosting.fit_dart(table, FEATURES, "kind", ["a", "b", "c"], BoostParams(rounds=1, max_depth=2))
     out = shap.shap_contributions(table, model)

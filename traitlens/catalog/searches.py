@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traitlens.catalog.registry import query, rounded, with_sql
-from traitlens.operators import boosting, histograms
+from traitlens.operators import boosting, histograms, shap
 from traitlens.operators.boosting import BoostParams
+from traitlens.operators.ordering import stable_row_id
 from traitlens.plans import tuning
 from traitlens.sources.models import ModelStore
 from traitlens.sources.store import new_shared_folder
@@ -73,6 +74,29 @@ def boost_depth_two(data):
     return rows.groupBy(*_FEATURES).agg(F.count("*").alias("n")).withColumn("margin", F.round(model.margin(), 6))
 
 
+# Every set of known features (a mask) is valued by walking the tree, and weighed as Shapley's definition says.
+_SHARES_SQL = (
+    "upper_ AS (SELECT avg(k::INT) AS share1 FROM halves)",
+    f"lower_ AS (SELECT k, any_value(fi2) AS fi2, any_value(cut2) AS cut2, any_value(ml2) AS ml2, any_value(lo2) AS lo2, any_value(hi2) AS hi2, avg(({_left(2)})::INT) AS share2 FROM halves JOIN best2 USING (k) GROUP BY k)",
+    "cells AS (SELECT row_number() OVER (ORDER BY q, d, t) AS RowID, q, d, t FROM (SELECT DISTINCT q, d, t FROM items))",
+    f"""branches AS (SELECT RowID, mask, CASE WHEN (mask >> fi1) & 1 = 1 THEN (({_left(1)}) = k)::INT ELSE CASE WHEN k THEN share1 ELSE 1 - share1 END END AS reach,
+        CASE WHEN (mask >> fi2) & 1 = 1 THEN ({_left(2)})::INT ELSE share2 END AS goes_left, fi2, lo2, hi2, CASE WHEN k THEN lo1 ELSE hi1 END AS leaf1
+        FROM cells CROSS JOIN best1 CROSS JOIN upper_ CROSS JOIN range(8) AS m(mask) CROSS JOIN (VALUES (true), (false)) AS s(k) LEFT JOIN lower_ USING (k))""",
+    "worth AS (SELECT RowID, mask, sum(reach * CASE WHEN fi2 IS NULL THEN leaf1 ELSE goes_left * lo2 + (1 - goes_left) * hi2 END) AS v FROM branches GROUP BY ALL)",
+)
+
+
+@query("shap_depth_two", with_sql(*_DEEP_SQL, *_SHARES_SQL, body="""SELECT RowID, Feature, round(0.3::DOUBLE * sum(v * CASE WHEN (mask >> i) & 1 = 1
+        THEN CASE bit_count(mask) WHEN 2 THEN 1 ELSE 2 END ELSE CASE bit_count(mask) WHEN 1 THEN -1 ELSE -2 END END / 6.0::DOUBLE), 6) + 0.0::DOUBLE AS SHAP
+    FROM worth, (VALUES (0, 'q'), (1, 'd'), (2, 't')) AS f(i, Feature) GROUP BY RowID, Feature"""))
+def shap_depth_two(data):
+    """Contributions of a tree of two levels, for every distinct line item, against Shapley's definition over all feature sets."""
+    rows = _items(data)
+    model = histograms.fit_histogram(rows, _FEATURES, "obs", TWO, BoostParams(rounds=1, max_depth=2, rate_drop=0.0))
+    cells = stable_row_id(rows.select(*_FEATURES).distinct(), _FEATURES)
+    return shap.shap_contributions(cells, model, "rowIndex").select("RowID", "Feature", (F.round("SHAP", 6) + 0.0).alias("SHAP"))
+
+
 _GAPS_SQL = (
     _ITEMS_SQL.format(gap_d="l_partkey % 3 <> 0", gap_t="l_suppkey % 4 <> 0"), _ONE.format(gam="0.0"), _cuts_sql("items"), _best_sql(1, "items"),
     f"later AS (SELECT q, d, t, p - y AS g, p * (1 - p) AS h FROM (SELECT q, d, t, 0.5 - g AS y, 1 / (1 + exp(-0.3::DOUBLE * CASE WHEN {_left(1)} THEN lo1 ELSE hi1 END)) AS p FROM items, best1))",

@@ -1,16 +1,23 @@
 """Exact tree SHAP: what each feature adds to each row's margin.
 
 Path-dependent attributions: an absent feature follows both branches in
-proportion to their cover.  A leaf's share depends only on which features of
-its path the row satisfies, so the work is done per leaf over whole Arrow
-batches; Spark partitions the rows and turns the result long.
+proportion to their cover.  A feature on a leaf's path is a factor
+``share (1 - t) + held t``, where ``share`` is the product of its cover shares
+there and ``held`` says whether the row meets all its conditions; its Shapley
+value is (held - share) times the integral over t from 0 to 1 of the other
+factors' product.  That product is a polynomial, so a few Gauss-Legendre points
+integrate it exactly, and at a point a factor joins or leaves it by one
+multiplication or division.  Products are therefore extended once per edge on
+the way down, shared by all leaves below, and leaves are summed once per edge on
+the way up.  Blocks of trees and slices of rows go through numpy together; Spark
+partitions the rows and turns the result long.
 """
 
 from __future__ import annotations
 
-import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,72 +31,125 @@ from traitlens.operators.boosting import Ensemble, Tree
 # The batch functions travel with the job, so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Nodes of a block of trees (a larger tree is a block of its own), and bytes of products a task holds for it.
+_BLOCK_NODES = 4096
+_BLOCK_BYTES = 8 << 20
 
-def leaf_paths(tree: Tree) -> list[tuple[float, dict]]:
-    """Each leaf's weighted value and, per feature on its path, the conditions
-    (threshold, goes left, missing goes left) and the product of cover shares."""
-    out: list[tuple[float, dict]] = []
 
-    def walk(i: int, path: dict) -> None:
-        n = tree.nodes[i]
-        if n.feature is None:
-            out.append((n.value * tree.weight, path))
-            return
-        for child, left in ((n.left, True), (n.right, False)):
-            share = tree.nodes[child].cover / n.cover if n.cover > 0 else 0.0
-            conditions, cover = path.get(n.feature, ((), 1.0))
-            walk(child, path | {n.feature: (conditions + ((n.threshold, left, n.missing_left),), cover * share)})
+@dataclass
+class TreeBlock:
+    """The edges of some trees, level by level, siblings side by side.
+
+    Entry 0 is the root of them all.  ``share`` is the product of the cover shares of the edge's feature from the
+    root down to the edge, ``before`` the nearest edge above with the same feature, or 0.
+    """
 
-    walk(0, {})
-    return out
+    parent: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    missing_left: np.ndarray
+    share: np.ndarray
+    before: np.ndarray
+    value: np.ndarray
+    levels: list[tuple[int, int]]
+    distinct: int
+
+    def __len__(self) -> int:
+        return len(self.parent)
+
+
+def tree_block(trees: Sequence[Tree], position: dict[str, int]) -> TreeBlock:
+    edges: list[list] = [[0, 0, 0.0, True, True, 1.0, 0, 0.0]]
+    levels, distinct = [], 1
+    frontier: list[tuple[Tree, int, int, dict]] = [(tree, 0, 0, {}) for tree in trees]
+    while frontier:
+        first, below = len(edges), []
+        for tree, i, place, above in frontier:
+            n = tree.nodes[i]
+            distinct = max(distinct, len(above))
+            if n.feature is None:
+                edges[place][-1] += n.value * tree.weight
+                continue
+            before = above.get(n.feature, 0)
+            for child, left in ((n.left, True), (n.right, False)):
+                share = tree.nodes[child].cover / n.cover if n.cover > 0 else 0.0
+                below.append((tree, child, len(edges), above | {n.feature: len(edges)}))
+                edges.append([place, position[n.feature], n.threshold, left, n.missing_left, share * edges[before][5], before, 0.0])
+        if len(edges) > first:
+            levels.append((first, len(edges)))
+        frontier = below
+    return TreeBlock(*[np.array(column) for column in zip(*edges)], levels, distinct)
+
+
+def tree_blocks(trees: Sequence[Tree], position: dict[str, int]) -> list[TreeBlock]:
+    blocks: list[list[Tree]] = []
+    nodes = _BLOCK_NODES
+    for tree in trees:
+        if nodes + len(tree.nodes) > _BLOCK_NODES:
+            blocks.append([])
+            nodes = 0
+        blocks[-1].append(tree)
+        nodes += len(tree.nodes)
+    return [tree_block(b, position) for b in blocks]
 
 
 def expected_margin(ensemble: Ensemble, klass: int) -> float:
     """Margin of a row about which nothing is known."""
-    return sum(v * math.prod(c for _, c in path.values()) for t in ensemble.trees if t.klass == klass for v, path in leaf_paths(t))
 
+    def mean(tree: Tree, i: int = 0) -> float:
+        n = tree.nodes[i]
+        if n.feature is None:
+            return n.value * tree.weight
+        return sum(tree.nodes[c].cover / n.cover * mean(tree, c) for c in (n.left, n.right)) if n.cover > 0 else 0.0
+
+    return sum(mean(t) for t in ensemble.trees if t.klass == klass)
+
+
+def _without(product: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """The product less one of its factors; where that is 0, no cover and no row gets there, and nothing counts."""
+    return np.divide(product, factor, out=np.zeros_like(product), where=factor != 0)
+
+
+def slice_contributions(block: TreeBlock, x: np.ndarray) -> np.ndarray:
+    """Contributions of a block's trees for some rows: features x rows, as ``x``."""
+    points, weights = np.polynomial.legendre.leggauss((block.distinct + 1) // 2)
+    t, weights = (points + 1) / 2, weights / 2
+    rows = x.shape[1]
+    held = np.ones((len(block), rows), dtype=bool)
+    product = np.ones((len(block), rows, len(t)))
+
+    def factor(places) -> np.ndarray:
+        return block.share[places, None, None] * (1 - t) + held[places][..., None] * t
+
+    for first, end in block.levels:
+        here, before = slice(first, end), block.before[first:end]
+        values = x[block.feature[here]]
+        goes_left = np.where(np.isnan(values), block.missing_left[here, None], values <= block.threshold[here, None])
+        held[here] = (goes_left == block.left[here, None]) & held[before]
+        product[here] = _without(product[block.parent[here]], factor(before)) * factor(here)
+    product *= block.value[:, None, None]
+    for first, end in reversed(block.levels[1:]):
+        product[block.parent[first:end:2]] += product[first:end:2] + product[first + 1 : end : 2]
+    phi = np.zeros_like(x)
+    for first, end in block.levels:
+        here, before = slice(first, end), block.before[first:end]
+        gain = (held[here] - block.share[here, None]) * (_without(product[here], factor(here)) @ weights)
+        # What lies below no longer carries the factor of the edge above with this feature.
+        gain -= (held[before] - block.share[before, None]) * (_without(product[here], factor(before)) @ weights)
+        order = np.argsort(block.feature[here], kind="stable")
+        features, starts = np.unique(block.feature[here][order], return_index=True)
+        phi[features] += np.add.reduceat(gain[order], starts, axis=0)
+    return phi
 
-def path_shares(satisfied: np.ndarray, cover: np.ndarray) -> np.ndarray:
-    """Shapley weights of one path: rows x features.
 
-    For feature i the sum over subsets S of the others is a polynomial whose
-    degree counts |S|: the product over j != i of (cover_j + satisfied_j t).
-    """
-    rows, m = satisfied.shape
-    order = np.array([math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)])
-    out = np.empty((rows, m))
-    for i in range(m):
-        poly = np.zeros((rows, m))
-        poly[:, 0] = 1.0
-        for j in range(m):
-            if j != i:
-                shifted = np.zeros_like(poly)
-                shifted[:, 1:] = poly[:, :-1] * satisfied[:, [j]]
-                poly = poly * cover[j] + shifted
-        out[:, i] = (poly @ order) * (satisfied[:, i] - cover[i])
-    return out
-
-
-def batch_contributions(paths: list[tuple[float, dict]], columns: dict[str, np.ndarray], position: dict[str, int], rows: int) -> np.ndarray:
-    """Contributions of all leaves for one batch: rows x features."""
-    phi = np.zeros((rows, len(position)))
-    for value, path in paths:
-        if not path or value == 0.0:
-            continue
-        satisfied = []
-        for feature, (conditions, _) in path.items():
-            x = columns[feature]
-            gone = np.isnan(x)
-            held = np.ones(rows, dtype=bool)
-            for threshold, left, missing_left in conditions:
-                goes_left = np.where(gone, missing_left, x <= threshold)
-                held &= goes_left if left else ~goes_left
-            satisfied.append(held)
-        held = np.stack(satisfied, axis=1)
-        code = held @ (1 << np.arange(held.shape[1]))
-        _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-        shares = path_shares(held[first].astype(float), np.array([c for _, c in path.values()]))
-        phi[:, [position[f] for f in path]] += value * shares[inverse]
+def batch_contributions(blocks: Sequence[TreeBlock], x: np.ndarray) -> np.ndarray:
+    """Contributions of all trees for one batch, features x rows; a task holds one block's slice of rows at a time."""
+    phi = np.zeros_like(x)
+    for block in blocks:
+        step = max(1, _BLOCK_BYTES // (8 * len(block) * ((block.distinct + 1) // 2)))
+        for at in range(0, x.shape[1], step):
+            phi[:, at : at + step] += slice_contributions(block, x[:, at : at + step])
     return phi
 
 
@@ -102,18 +162,18 @@ def shap_contributions(df: DataFrame, ensemble: Ensemble, row_id: str = "rowInde
     ensemble._require(df)
     used = sorted({n.feature for t in ensemble.trees for n in t.nodes if n.feature is not None})
     position = {f: i for i, f in enumerate(used)}
-    per_class = [[p for t in ensemble.trees if t.klass == k for p in leaf_paths(t)] for k in range(ensemble.outputs)]
+    per_class = [tree_blocks([t for t in ensemble.trees if t.klass == k], position) for k in range(ensemble.outputs)]
     labels = ensemble.levels[: ensemble.outputs]
-    # The paths grow with trees and leaves, so they travel once per executor, not with every task.
+    # The edges grow with trees and leaves, so they travel once per executor, not with every task.
     shared = df.sparkSession.sparkContext.broadcast(per_class)
     id_type = df.select(col(row_id)).schema[0].dataType.simpleString()
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            columns = {f: batch[f].to_numpy(dtype=float, na_value=np.nan) for f in used}
-            for label, paths in zip(labels, shared.value):
-                phi = batch_contributions(paths, columns, position, len(batch))
-                yield pd.DataFrame({"RowID": batch["RowID"], "Label": label, "phi": list(phi)})
+            x = np.array([batch[f].to_numpy(dtype=float, na_value=np.nan) for f in used]).reshape(len(used), len(batch))
+            for label, blocks in zip(labels, shared.value):
+                phi = batch_contributions(blocks, x)
+                yield pd.DataFrame({"RowID": batch["RowID"], "Label": label, "phi": list(phi.T)})
 
     narrow = df.select(col(row_id).alias("RowID"), *[col(f).cast("double").alias(f) for f in used])
     wide = narrow.mapInPandas(explain, f"RowID {id_type}, Label string, phi array<double>")
