@@ -186,3 +186,23 @@ def test_partitioned_settle_prunes(spark):
     part = df.where("Rep = 1 AND Fold = 1")
     assert df.columns == ["id", "Rep", "Fold"] and part.count() == 10
     assert "PartitionFilters: [isnotnull(Rep" in part._jdf.queryExecution().toString()
+
+
+def test_split_merge_reads_each_input_once_beyond_the_search(spark, monkeypatch):
+    """The search for hot keys reads the inputs; the joins that the merge is put together from read what was written."""
+    from traitlens.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    frames = [spark.createDataFrame([("x" if i % 2 else f"{v}{i}", i) for i in range(60)], f"k string, {v} long").mapInPandas(counted, f"k string, {v} long") for v in "ab"]
+    assert all(skew.hot_keys(frames, ["k"]))
+    search = read.value
+    merged = merging.merge_outer(frames, ["k"])
+    assert merged.count() == 30 * 30 + 30 + 30
+    assert read.value == 2 * search + 60 * len(frames)

@@ -22,10 +22,12 @@ def merge_outer(parts: Sequence[DataFrame], keys: Sequence[str], null_safe: bool
 
     A full outer join cannot have its hot partitions split.  When a sketch of
     the keys finds one that holds too many rows, the merge is put together from
-    an inner join and two anti joins, which adaptive execution can split.
+    an inner join and two anti joins, which adaptive execution can split.  These
+    read each side several times, so the parts are written once before.
     """
-    pair = _split_pair if any(hot_keys(parts, keys)) else _full_pair
-    return reduce(lambda a, b: pair(a, b, keys, null_safe), parts)
+    if not any(hot_keys(parts, keys)):
+        return reduce(lambda a, b: _full_pair(a, b, keys, null_safe), parts)
+    return reduce(lambda a, b: _split_pair(a, b, keys, null_safe), [settle(p) for p in parts])
 
 
 def _full_pair(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
@@ -117,8 +119,9 @@ def listed_cohort(df: DataFrame, listed: DataFrame, keys: Sequence[str], replace
     """Rows on a selected list; the list's columns replace those of the table.
 
     A selected list is short by nature, yet it is only broadcast when a count
-    says so.
+    says so; it is settled first, so that it is selected once.
     """
+    listed = settle(listed)
     if fits_broadcast(listed):
         listed = F.broadcast(listed)
     return df.drop(*replaces).join(listed, list(keys))
