@@ -416,3 +416,29 @@ def key_violations(data):
 @query("max_per_key", "SELECT l_partkey, max(l_extendedprice) AS MaxChange FROM lineitem GROUP BY l_partkey")
 def max_per_key(data):
     return cohorts.best_per_key(data.table("lineitem"), "l_partkey", "l_extendedprice")
+
+
+@query("scan_sanitised_csv", with_sql(METADATA_SQL, body=f"""SELECT upper(HOST) AS "Species", Gene AS "ENSEMBL_ID", Symbol AS "Gene",
+    round(Log2FC + {NUDGE}, 6) AS "log2_Fold_Change" FROM metadata"""))
+def scan_sanitised_csv(data):
+    """The identity table landed as CSV and read with plain names."""
+    wanted = ("Species", "ENSEMBL ID", "Gene", "log2 Fold Change")
+    path = _scratch(data)
+    data.metadata().select(*[col(c) for c in wanted]).write.csv(path, header=True)
+    read = names.sanitised(readers.typed_nulls(readers.read_strings_csv(data.spark, path, wanted), ["log2 Fold Change"]))
+    return rounded_ratios(read, "log2_Fold_Change")
+
+
+@query("select_by_substring", with_sql(GENE_SQL, body=f"SELECT HOST, Gene, {_round_sql(P1, ['CpG', 'CG%'])} FROM gene_seq"))
+def select_by_substring(data):
+    """The columns whose name contains a part, whatever its case."""
+    df = data.part1_gene()
+    wanted = names.containing(df.columns, "cpg", "CG%")
+    return rounded_ratios(df.select("HOST", "Gene", *[col(c) for c in wanted]), *wanted)
+
+
+@query("explode_list_column", "SELECT vec_id, round(unnest(embedding)::DOUBLE, 6) AS component FROM embeddings")
+def explode_list_column(data):
+    """One row per element of a list column."""
+    exploded = reshape.exploded_array(data.table("embeddings"), ["vec_id"], F.col("embedding"), "component")
+    return rounded(exploded.withColumn("component", F.col("component").cast("double")), "component")

@@ -161,6 +161,7 @@ def spearman_with(data: DataFrame, features: Sequence[str], reference: str) -> D
 
     The reference rides along on each row before the table turns long, so no
     positional alignment is involved; both rankings split hot groups by value.
+    A feature of one value, or of one row, has no correlation: NULL.
     """
     wide = data.select(*[col(f) for f in features], col(reference).alias("__ref"))
     wide = settle(wide)  # the few columns in play, read by every pass of both rankings
@@ -168,7 +169,8 @@ def spearman_with(data: DataFrame, features: Sequence[str], reference: str) -> D
     # Settled in between: the second ranking reads its input several times.
     ranked = settle(rank_within(long, ["Feature"], F.col("Value"), rank=None, average="__x").drop("Value"))
     ranked = rank_within(ranked, ["Feature"], F.col("__ref"), rank=None, average="__y")
-    return ranked.groupBy("Feature").agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("Correlation"))
+    correlation = F.try_divide(F.covar_pop("__x", "__y"), F.stddev_pop("__x") * F.stddev_pop("__y"))
+    return ranked.groupBy("Feature").agg(F.count("*").alias("n"), correlation.alias("Correlation"))
 
 
 def top_feature_correlations(data: DataFrame, ranked: DataFrame, reference: str, n: int = 50) -> DataFrame:

@@ -53,17 +53,22 @@ def merge_features(coding: DataFrame, gene: DataFrame, codon: DataFrame, identit
     return merged
 
 
-def prepare_input(spark: SparkSession, hosts: Sequence[str], part_one_dir: str, part_two_dir: str, identity_path: str, out: str, unique_on: Sequence[str] = ("Gene",)) -> DataFrame:
-    """The whole preparation: scan, clean, merge, write by host, check the written table."""
+def merged_files(spark: SparkSession, hosts: Sequence[str], part_one_dir: str, part_two_dir: str, identity_path: str, species: dict[str, str] = SPECIES_TO_HOST) -> DataFrame:
+    """Scan, clean and merge the files of the hosts; nothing is checked or written."""
     raw = typed_nulls(read_strings_csv(spark, identity_path, IDENTITY_COLUMNS), ["log2 Fold Change", "FDR"])
     copy = ("human", "biomart") if "biomart" in hosts else None
-    merged = merge_features(
+    return merge_features(
         read_hosts(spark, hosts, PART_ONE_CODING, part_one_dir),
         read_hosts(spark, hosts, PART_ONE_GENE, part_one_dir),
         read_hosts(spark, hosts, PART_TWO, part_two_dir),
-        clean_identities(raw, duplicate_for=copy),
+        clean_identities(raw, species, copy),
         unique_on=None,
     )
+
+
+def prepare_input(spark: SparkSession, hosts: Sequence[str], part_one_dir: str, part_two_dir: str, identity_path: str, out: str, unique_on: Sequence[str] = ("Gene",)) -> DataFrame:
+    """The whole preparation: scan, clean, merge, write by host, check the written table."""
+    merged = merged_files(spark, hosts, part_one_dir, part_two_dir, identity_path)
     merged.write.mode("errorifexists").partitionBy("HOST").parquet(out)
     written = spark.read.parquet(out)
     require_unique(written, unique_on)
