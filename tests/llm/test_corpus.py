@@ -154,6 +154,19 @@ def test_words_of_a_text_give_its_ids(tokenizer):
         assert np.frombuffer(ids.of([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_of_letters_need_the_model_only(tokenizer, monkeypatch):
+    """Every letter of Latin-1, lowered or not, apart and within words, with and without signs at the end."""
+    ids = bin_packing.WordIds(WORDS)
+    letters = "".join(chr(c) for c in range(0x41, 0x100) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA))
+    ids.of([". , ... !?"])
+    text = " ".join([*letters, letters, letters.upper(), "Straße naïve. çà, été... ÀÉ!?"])
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(ids, "_joined", None)
+    assert np.frombuffer(ids.of([text])[0], "<u4").tolist() == want
+    ids.forget()
+    assert not ids.known and not ids.earlier
+
+
 def test_fullest_is_optimal():
     rng = random.Random(2)
     for _ in range(200):

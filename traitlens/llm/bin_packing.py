@@ -19,26 +19,28 @@ columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import add, attrgetter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traitlens.llm.common import settle, text_or_empty
+from traitlens.llm.common import lean, settle, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
 #: Words of one generation; two are kept.
 _CACHED_WORDS = 150_000
 _JOINED = 1_000
-_JOINED_LETTERS = 20_000
-_WORD_END = "</w>"
+_JOINED_LETTERS = 5_000
 _BETWEEN = b"<|endoftext|>"
 _TEXTS = 500
 
@@ -62,10 +64,9 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.between = self.tokenizer.token_to_id(_BETWEEN.decode())
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        #: Whether a token ends a run of letters.
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        parts = json.loads(self.tokenizer.to_str())
+        #: Whether normalizer and splitter do no more to a word of letters than ``_letters`` does.
+        self.plain = (parts["normalizer"], parts["pre_tokenizer"]) == (_NORMALIZER, _SPLITTER)
         self.known: dict[bytes, bytes] = {}
         self.earlier: dict[bytes, bytes] = {}
 
@@ -82,15 +83,23 @@ class WordIds:
         return self._bytes(self.tokenizer.encode_batch_fast([between.join(words).decode()], add_special_tokens=False)[0])
 
     def _letters(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids of words of letters only: joined by spaces, cut after the tokens that end a word."""
+        """Ids of words of letters only, by the tokenizer's model alone where that is known to be enough."""
+        if not self.plain:
+            yield from self._encoded(words)
+            return
+        tokens_of = self.tokenizer.model.tokenize
         for at in range(0, len(words), _JOINED_LETTERS):
             some = words[at : at + _JOINED_LETTERS]
-            ids = self._joined(some, b" ")
-            cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 4).tolist()
-            if len(cuts) == len(some):
-                yield from zip(some, (ids[a:b] for a, b in zip([0, *cuts], cuts)))
-            else:
-                yield from self._encoded(some)
+            # Each byte is one sign to the model; capitals of Latin-1 are still to be lowered.
+            signs = b" ".join(some).decode().lower().encode().decode("latin-1")
+            for byte, sign in _MODEL_SIGNS.items():
+                signs = signs.replace(byte, sign)
+            tokens, ends = [], [0]
+            for word in signs.split(" "):
+                tokens += tokens_of(word)
+                ends.append(4 * len(tokens))
+            raw = np.fromiter(map(_ID_OF, tokens), "<u4", len(tokens)).tobytes()
+            yield from zip(some, map(raw.__getitem__, map(slice, ends, ends[1:])))
 
     def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of any words without a special token: joined by one, and cut there."""
@@ -102,22 +111,21 @@ class WordIds:
 
     def _learn(self, words: Iterable[bytes]) -> None:
         """Add words that are not known; signs at their ends are looked up apart."""
-        known, parts, letters, others = self.known, [], set(), set()
-        for word in words:
-            if word[-1] in _SIGNS and _LETTER.search(stem := word.rstrip(_SIGNS)):
-                parts.append((word, stem))
-                if (signs := word[len(stem) :]) not in known:
-                    others.add(signs)
-                if stem in known:
-                    continue
-                word = stem
+        known, letters, others = self.known, set(), set()
+        words = list(words)
+        # Two lists in place of one of pairs: nothing here for the garbage collector to follow.
+        with_signs = [w for w in words if w[-1] in _SIGNS]
+        stems = [w.rstrip(_SIGNS) for w in with_signs]
+        parted = [bool(_LETTER.search(s)) for s in stems]
+        with_signs, stems = list(compress(with_signs, parted)), list(compress(stems, parted))
+        ends = [w[len(s) :] for w, s in zip(with_signs, stems)]
+        for word in {*words, *stems, *ends}.difference(with_signs, known):
             (letters if word.isalpha() or _LETTERS.fullmatch(word) else others).add(word)
         known.update(self._letters(list(letters)))
         known.update(self._encoded([w for w in others if b"<|" not in w]))
         odd = [w for w in others if b"<|" in w]
         known.update(zip(odd, (self._bytes(e) for e in self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False))))
-        for word, stem in parts:
-            known[word] = known[stem] + known[word[len(stem) :]]
+        known.update(zip(with_signs, map(add, map(known.__getitem__, stems), map(known.__getitem__, ends))))
 
     def of(self, texts: Iterable[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
@@ -127,11 +135,26 @@ class WordIds:
             self.known, self.earlier = {}, self.known
             new = set().union(*split)
         again = new.intersection(self.earlier)
-        self.known.update((w, self.earlier[w]) for w in again)
+        self.known.update(zip(again, map(self.earlier.__getitem__, again)))
         self._learn(new - again)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
-
+    def forget(self) -> None:
+        """Drop the words; the tokenizer stays."""
+        self.known, self.earlier = {}, {}
+
+
+_ID_OF = attrgetter("id")
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: The bytes of lowered Latin-1 letters for which the model's byte alphabet has another sign.
+_MODEL_SIGNS = {"\x9f": "\u0141", "\xa0": "\u0142", "\xad": "\u0143"}
 #: ASCII signs but those of special tokens, a letter of ASCII or Latin-1 at the end, and words of such letters.
 _SIGNS = rb"""!"#$%&'()*+,-./:;=?@[\]^_`{}~"""
 _LETTER = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
@@ -166,9 +189,10 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_co
                     rows.append((doc, piece, at // 4, length, zlib.crc32(body), part, seen[length]))
                     seen[length] += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank_in_part"])
+        ids.forget()
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank_in_part long"
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(cut, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(lean(cut), schema)
 
 
 def fullest(room: int, counts: dict[int, int]) -> list[int]:
@@ -268,4 +292,4 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col:
             yield batch.assign(sequence_id=sequence, offset=offset)[columns]
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return cut.join(bases, ["length", "part"]).mapInPandas(place, schema)
+    return cut.join(bases, ["length", "part"]).mapInPandas(lean(place), schema)
