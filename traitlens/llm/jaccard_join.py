@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitlens.llm.common import settle, text_or_empty, whole_groups
+from traitlens.llm.common import lean, settle, text_or_empty, whole_groups
 from traitlens.llm.components import components
 from traitlens.llm.word_hash import text_hashes, windows
 from traitlens.sources.store import join_small
@@ -77,6 +77,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, text, set key (NULL without words), number of shingles and signature of every row."""
 
     @F.pandas_udf("key binary, shingles int, signature binary")
+    @lean
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys, counts, signatures = [], [], []
@@ -193,7 +194,7 @@ def compare_units(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 columns=["unit", "left_ids", "right_ids"],
             )
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(compare, "unit string, left_ids array<long>, right_ids array<long>")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(lean(compare), "unit string, left_ids array<long>, right_ids array<long>")
 
 
 def verify_units(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -250,7 +251,7 @@ def verify_units(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOL
             found = [row for _, group in frame.groupby("unit", sort=False) for row in one(group)]
             yield pd.DataFrame(found, columns=["cid", "root", "links"])
 
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(verify, "cid long, root long, links long")
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(lean(verify), "cid long, root long, links long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, unique_ids: bool = False) -> DataFrame:

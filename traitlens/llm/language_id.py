@@ -29,7 +29,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitlens.llm.common import held_out, settle, text_or_empty
+from traitlens.llm.common import held_out, lean, settle, text_or_empty
 
 UNDETERMINED = "und"
 #: Labelled rows per language that training reads, in expectation.
@@ -150,7 +150,7 @@ def training_vectors(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             keep = [v is not None for v in vectors]
             yield pd.DataFrame({"lang": batch["lang"][keep], "features": [v.astype(np.float32) for v in vectors if v is not None]})
 
-    return settle(drawn.mapInPandas(encode, "lang string, features array<float>"))
+    return settle(drawn.mapInPandas(lean(encode), "lang string, features array<float>"))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
@@ -183,6 +183,7 @@ def language_of(model: LanguageModel, context: SparkContext) -> Callable[[Column
     shared = context.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
+    @lean
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitlens.llm.common import settle, text_or_empty, whole_groups
+from traitlens.llm.common import lean, settle, text_or_empty, whole_groups
 
 WINDOW = 13
 SHARD_WORDS = 500_000
@@ -55,17 +55,9 @@ def build_index(docs: DataFrame, vocabulary: Broadcast | None = None, id_col: st
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def shard_row(number: str, ids: list, counts: list[int], words: list[bytes]) -> dict:
-        if vocabulary is not None:
-            known = vocabulary.value
-            codes = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
-            names = list(known)
-        else:
-            table: dict[bytes, int] = {}
-            codes = np.fromiter((table.setdefault(w, len(table)) for w in words), np.int32, len(words))
-            names = list(table)
-        counts_array = np.asarray(counts, np.int64)
-        positions = np.arange(len(words), dtype=np.int64) + np.repeat(np.arange(len(counts)), counts_array)
+    def shard_row(number: str, ids: list, counts: list[int], coded: list[np.ndarray], names: list[bytes]) -> dict:
+        codes, counts_array = np.concatenate(coded), np.asarray(counts, np.int64)
+        positions = np.arange(len(codes), dtype=np.int64) + np.repeat(np.arange(len(counts)), counts_array)
         kept = np.flatnonzero(codes >= 0)
         order = kept[np.argsort(codes[kept], kind="stable")]
         terms, first = np.unique(codes[order], return_index=True)
@@ -81,23 +73,28 @@ def build_index(docs: DataFrame, vocabulary: Broadcast | None = None, id_col: st
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
-        ids, counts, words = [], [], []
+        part, made, size = TaskContext.get().partitionId(), 0, 0
+        # Words are kept as numbers, by the vocabulary or in order of appearance in the shard.
+        table: dict[bytes, int] = {} if vocabulary is None else vocabulary.value
+        ids, counts, coded = [], [], []
         for batch in batches:
             for doc, text in zip(batch["doc_id"].array, batch["text"]):
                 own = words_of(text)
-                if words and len(words) + len(own) > SHARD_WORDS:
-                    yield pd.DataFrame([shard_row(f"{part}-{made}", ids, counts, words)])
-                    ids, counts, words, made = [], [], [], made + 1
+                if size and size + len(own) > SHARD_WORDS:
+                    yield pd.DataFrame([shard_row(f"{part}-{made}", ids, counts, coded, list(table))])
+                    ids, counts, coded, made, size = [], [], [], made + 1, 0
+                    table = {} if vocabulary is None else table
                 ids.append(None if doc is pd.NA else doc)
                 counts.append(len(own))
-                words += own
+                size += len(own)
+                codes = map(table.get, own, repeat(-1)) if vocabulary is not None else (table.setdefault(w, len(table)) for w in own)
+                coded.append(np.fromiter(codes, np.int32, len(own)))
         if ids:
-            yield pd.DataFrame([shard_row(f"{part}-{made}", ids, counts, words)])
+            yield pd.DataFrame([shard_row(f"{part}-{made}", ids, counts, coded, list(table))])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     schema = f"shard string, doc_ids array<{kind}>, n_words array<long>, terms array<string>, offsets array<int>, positions array<int>"
-    return rows.mapInPandas(index, schema)
+    return rows.mapInPandas(lean(index), schema)
 
 
 class _Postings:
@@ -213,7 +210,7 @@ def search_phrases(index: DataFrame, queries: Broadcast) -> DataFrame:
                     }
                 )
 
-    return index.mapInPandas(search, _FOUND.format(kind=kind))
+    return index.mapInPandas(lean(search), _FOUND.format(kind=kind))
 
 
 def search_near(index: DataFrame, queries: Broadcast, within: int) -> DataFrame:
@@ -253,7 +250,7 @@ def _merge_blocks(found: DataFrame) -> DataFrame:
 
     kind = found.schema["doc_id"].dataType.simpleString()
     placed = found.withColumn("place", F.concat_ws("/", "shard", F.col("slot").cast("string")))
-    return placed.repartition("place").sortWithinPartitions("place").mapInPandas(merge, _FOUND.format(kind=kind))
+    return placed.repartition("place").sortWithinPartitions("place").mapInPandas(lean(merge), _FOUND.format(kind=kind))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(20_240_501))
 _CODES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = int(_rng.integers(0, 1 << 63, dtype=np.uint64)) * 2 + 1
