@@ -37,8 +37,8 @@ from traitlens.llm.common import lean, settle, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
-#: Words of one generation; two are kept.
-_CACHED_WORDS = 150_000
+#: Words of one generation; two are kept, until the task ends.
+_CACHED_WORDS = 300_000
 _JOINED = 1_000
 _JOINED_LETTERS = 5_000
 _BETWEEN = b"<|endoftext|>"
